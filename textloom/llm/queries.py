@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from textloom.llm import packing, sharding, token_files
+from textloom.llm import media, packing, pii, quality, sharding, token_files
 from textloom.llm.common import table
 
 
+def op2_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_media(spark, sf_dir):
+    return media.features(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -18,8 +26,12 @@ def op8_token_files(spark, sf_dir):
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op10_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def queries():
-    return {f.__name__: f for f in (op5_sharding, op6_packing, op8_token_files)}
+    return {f.__name__: f for f in (op2_pii, op4_media, op5_sharding, op6_packing, op8_token_files, op10_quality)}
 
 
 def oracle_sql():
