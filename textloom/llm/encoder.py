@@ -12,11 +12,13 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from textloom.llm.common import tokenizer_path
 
 #: Entries of each generation of a worker's cache: some 150 MB at most.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 350_000
 #: ASCII signs that stand after words; the apostrophe is not among them, as contractions bind it.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LONGEST_CACHED = 48
@@ -61,11 +63,27 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.pieces = Generations(cached)
+        self.opens = np.array([(self.library.id_to_token(k) or "").startswith("\u0120") for k in range(self.library.get_vocab_size())])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words that consist of letters, each with a space before it: encoded in one run, cut
+        where an id that opens with a space begins."""
+        out = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(cuts) != len(part):
+                out += self._ids([" " + w for w in part])
+            else:
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+        return out
+
     def _parts(self, piece: str) -> tuple[str, ...]:
         """Keys of the words and signs that a piece consists of; NUL marks those without a space."""
         word = piece.rstrip(SIGNS)
@@ -89,52 +107,68 @@ class Encoder:
                     else:
                         known[w] = value
         keys = list(wanted)
-        fresh = dict(zip(keys, self._ids([w[1:] if w[:1] == "\0" else " " + w for w in keys])))
+        plain = [w for w in keys if w.isalpha()]
+        other = [w for w in keys if not w.isalpha()]
+        fresh = dict(zip(plain, self._word_ids(plain)))
+        fresh.update(zip(other, self._ids([w[1:] if w[:1] == "\0" else " " + w for w in other])))
         self.pieces.keep(fresh)
         known.update(fresh)
         for p, words in parts.items():
             known[p] = b"".join([known[w] for w in words])
         return known
 
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole, pending, missing = [], [], {}
-        young, older = self.pieces.young.get, self.pieces.find
-        for k, text in enumerate(texts):
-            pieces = text.split(" ")
-            pieces[0] = "\0" + pieces[0]  # the opening piece has no space before it
-            values = list(map(young, pieces))
-            if None in values:
-                gaps = []
-                for i in [i for i, v in enumerate(values) if v is None]:
-                    if (v := older(p := pieces[i])) is None:
-                        # white space beside a cut, or an empty piece: no cached piece is like that
-                        if p.strip() != p or p in ("", "\0") or p[:1] == "\0" and p[1].isspace():
-                            gaps = None
-                            break
-                        gaps.append((i, p))
-                    else:
-                        values[i] = v
-                if gaps is None:
-                    whole.append(k)
-                    continue
-                if gaps:
-                    missing.update((p, None) for _, p in gaps)
-                    pending.append((k, values, gaps))
-                    continue
-            out[k] = b"".join(values)
+    def _look_up(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct pieces, and which of them stand beside white space and can't be cut out."""
+        values = list(map(self.pieces.young.get, pieces))
+        missing, odd = [], []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            p = pieces[i]
+            if (v := self.pieces.find(p)) is not None:
+                values[i] = v
+            elif p.strip() != p or p in ("", "\0") or p[:1] == "\0" and p[1].isspace():
+                odd.append(i)
+                values[i] = b""
+            else:
+                missing.append(i)
         if missing:
-            fresh = self._resolve(list(missing))
-            for k, values, gaps in pending:
-                for i, p in gaps:
-                    values[i] = fresh[p]
-                out[k] = b"".join(values)
-            self.pieces.keep({p: fresh[p] for p in missing})
-        if whole:
-            for k, v in zip(whole, self._ids([texts[k] for k in whole])):
-                out[k] = v
-        return out
+            fresh = self._resolve([pieces[i] for i in missing])
+            for i in missing:
+                values[i] = fresh[pieces[i]]
+            self.pieces.keep({pieces[i]: values[i] for i in missing})
+        return values, odd
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and the n + 1 places where texts begin and end.
+
+        Arrow cuts the texts and numbers the distinct pieces, so Python sees each of them once a batch.
+        """
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        cut = pc.split_pattern(marked, pattern=" ")
+        places = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        values, odd = self._look_up(numbered.dictionary.to_pylist())
+        index = numbered.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        each = sizes[index]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[index] - ends + each, each)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(values), dtype="<u4")[at]
+        bounds = np.concatenate([[0], ends])[places - places[0]]
+        whole = set(np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)).tolist())
+        if odd:
+            whole.update((np.searchsorted(places - places[0], np.flatnonzero(np.isin(index, odd)), "right") - 1).tolist())
+        if whole:  # runs of white space: those texts go to the library as they are
+            order = sorted(whole)
+            again = dict(zip(order, self._ids([texts[k].as_py() for k in order])))
+            parts = [np.frombuffer(again[k], dtype="<u4") if k in again else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype="<u4") for x in self.encode_bytes(texts)]
+        ids, bounds = self.encode_flat(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]

@@ -27,7 +27,7 @@ from textloom.llm.encoder import encoder
 CAPACITY = 1024
 END_ID = 2
 #: Rows ranked by one window group; longer runs of one length are split into more groups.
-RANKED_ROWS = 4_096
+RANKED_ROWS = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,13 +42,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian 32 bit) of every piece."""
 
     def cut_up(batches):
-        enc, tail = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        enc, tail = encoder(path), np.array([end_id], dtype="<u4")
         for batch in batches:
             for part in slices(batch):
                 cols = [[], [], [], [], [], []]
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), enc.encode_bytes(texts)):
-                    ids = np.frombuffer(raw + tail, dtype="<u4")
+                flat, bounds = enc.encode_flat(part.column("text"))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = np.append(flat[a:b], tail)
                     for k, (start, length) in enumerate(cut_points(len(ids), capacity)):
                         own = ids[start : start + length]
                         for col, x in zip(cols, (doc_id, k, start, length, crc_u32(own), own.tobytes() if keep_ids else None)):

@@ -91,11 +91,11 @@ class EliasFano:
         return out + self.base
 
 
-def file_bytes(doc_ids: list, ids: list[bytes], width: int = 2) -> bytes:
-    """One file; doc_ids ascend with nulls last; ids are little-endian 32-bit strings."""
+def file_bytes(doc_ids: list, ids: list[np.ndarray], width: int = 2) -> bytes:
+    """One file; doc_ids ascend with nulls last."""
     known = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
-    ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
-    data = np.frombuffer(b"".join(ids), dtype="<u4").astype(f"<u{width}").tobytes()
+    ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+    data = (np.concatenate(ids) if ids else np.zeros(0)).astype(f"<u{width}").tobytes()
     return HEAD.pack(MAGIC, width, len(ids), int(ends[-1]) if len(ids) else 0, len(known)) + ef_pack(ends) + ef_pack(known) + data
 
 
@@ -125,7 +125,7 @@ def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
     dealt = rows.repartitionByRange(partitions_for(spark, 2 * input_bytes(docs)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches):
-        enc, tail, part = encoder(path), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
+        enc, tail, part = encoder(path), np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
         width = 2 if max(enc.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         keys, ids, held, seq = [], [], 0, 0
 
@@ -136,10 +136,11 @@ def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
 
         for batch in batches:
             for piece in slices(batch):
-                for key, raw in zip(piece.column("doc_id").to_pylist(), enc.encode_bytes([t or "" for t in piece.column("text").to_pylist()])):
+                flat, bounds = enc.encode_flat(piece.column("text"))
+                for key, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     keys.append(key)
-                    ids.append(raw + tail)
-                    held += len(raw) // 4 + 1
+                    ids.append(np.append(flat[a:b], tail))
+                    held += b - a + 1
                     if held >= file_ids:
                         yield flush()
                         keys, ids, held, seq = [], [], 0, seq + 1
