@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import media, packing, pii, quality, sharding, token_files
+from textloom.llm import jaccard, media, packing, pii, quality, sharding, token_files
 from textloom.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op8_token_files(spark, sf_dir):
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def queries():
-    return {f.__name__: f for f in (op2_pii, op4_media, op5_sharding, op6_packing, op8_token_files, op10_quality)}
+    return {f.__name__: f for f in (op2_pii, op4_media, op5_sharding, op6_packing, op8_token_files, op9_jaccard, op10_quality)}
 
 
 def oracle_sql():
