@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import jaccard, media, packing, pii, quality, sharding, token_files
+from textloom.llm import jaccard, lines, media, packing, pii, quality, sharding, token_files
 from textloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return lines.decisions(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -35,7 +39,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_pii, op4_media, op5_sharding, op6_packing, op8_token_files, op9_jaccard, op10_quality)}
+    return {f.__name__: f for f in (op2_pii, op4_media, op5_sharding, op6_packing, op7_line_dedup, op8_token_files, op9_jaccard, op10_quality)}
 
 
 def oracle_sql():
