@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from textloom.llm import jaccard, lines, media, packing, pii, quality, sharding, token_files
+from textloom.llm import decontamination, html_blocks, jaccard, lines, media, packing, pii, quality, sharding, token_files
 from textloom.llm.common import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_html(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_media(spark, sf_dir):
     return media.features(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -39,7 +47,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_pii, op4_media, op5_sharding, op6_packing, op7_line_dedup, op8_token_files, op9_jaccard, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_html, op4_media, op5_sharding, op6_packing, op7_line_dedup, op8_token_files, op9_jaccard, op10_quality)}
 
 
 def oracle_sql():

@@ -29,10 +29,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words one behind the other, and the n + 1 places where texts begin and end."""
+def numbered_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the number of every word one behind the other, and where texts begin and end."""
     if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
     texts = texts.cast(pa.large_string()).fill_null("")
     starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
@@ -41,11 +41,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     places = cut.offsets.to_numpy().astype(np.int64)
     numbered = cut.flatten().dictionary_encode()
     distinct = numbered.dictionary.to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
     index = numbered.indices.to_numpy()
     real = np.array([x != b"" for x in distinct], dtype=bool)[index] if len(index) else np.zeros(0, bool)
     kept = np.concatenate([[0], np.cumsum(real)])
-    return hashes[index[real]], kept[places - places[0]]
+    return distinct, index[real], kept[places - places[0]]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words one behind the other, and the n + 1 places where texts begin and end."""
+    distinct, index, bounds = numbered_words(texts)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+    return hashes[index], bounds
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
