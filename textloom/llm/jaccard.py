@@ -1,6 +1,6 @@
 """N-gram Jaccard join by signature trees: exact links, one row per document.
 
-1. ``digest``: each text's shingle set, its class (texts with one set share it), a 1024-bit signature,
+1. ``digest``: each text's shingle set, its class (texts with one set share it), a bit signature of at least its size,
    and shingles that are frequent within a batch.
 2. ``groups``: two sets that link share one of the first n - ceil(3n/4) + 1 shingles of each in any
    common order. The order puts frequent shingles last (it changes cost, never the result). Classes
@@ -31,6 +31,7 @@ from textloom.llm.common import cut, input_bytes, partitions_for, slices
 from textloom.llm.components import components
 from textloom.llm.words import mixed, shingle_sets
 
+#: Bits of a signature: a power of two, this at least and no less than the set's size.
 BITS = 1024
 FANOUT = 16
 #: Frequent shingles: share of documents from which on they go last, and how many of them at most.
@@ -42,11 +43,17 @@ DIGEST = "doc_id long, class long, n int, signature binary"
 
 
 def signature(own: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(own % np.uint64(BITS)).astype(np.int64)] = 1
+    width = max(BITS, 1 << (len(own) - 1).bit_length())
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(own & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(mark: bytes, size: int) -> np.ndarray:
+    """A signature at a smaller power of two of bytes: the same as if it had been made so."""
+    return np.bitwise_or.reduce(np.frombuffer(mark, "<u8").reshape(-1, size // 8), axis=0)
+
+
 def class_of(own: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None
 
@@ -204,6 +211,22 @@ class SignatureTree:
         return found
 
 
+def spanning(sizes: np.ndarray, marks: list[bytes], verify=None) -> list[tuple[int, int]]:
+    """Spanning pairs of sets whose signatures differ in width.
+
+    A link's sizes are within 4/3 of each other, so its widths are equal or one is twice the other:
+    a tree for each width takes its own sets and, folded, those of twice the width that are near.
+    """
+    widths, out = np.fromiter(map(len, marks), dtype=np.int64, count=len(marks)), []
+    for width in np.unique(widths).tolist():
+        own = widths == width
+        at = np.flatnonzero(own | (widths == 2 * width) & (3 * sizes <= 4 * sizes[own].max()))
+        if len(at) > 1:
+            tree = SignatureTree(sizes[at], np.stack([folded(marks[k], width) for k in at.tolist()]))
+            out += [(int(at[p]), int(at[q])) for p, q in tree.spanning(verify and (lambda p, q: verify(at[p], at[q])))]
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 75 * union, of ascending distinct hashes."""
     if len(a) > len(b):
@@ -222,20 +245,22 @@ def candidates(grouped: DataFrame, classes: DataFrame, slots: int) -> DataFrame:
 
     def span(table: pa.Table) -> pa.Table:
         gid, owner, n = (table.column(c).to_numpy() for c in ("gid", "class", "n"))
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u8").reshape(-1, BITS // 64)
+        marks = table.column("signature").to_pylist()
         by = np.lexsort((owner, gid))
         by = by[np.concatenate([[True], (gid[by][1:] != gid[by][:-1]) | (owner[by][1:] != owner[by][:-1])])]
-        gid, owner, n, marks = gid[by], owner[by], n[by].astype(np.int64), marks[by]
+        gid, owner, n, marks = gid[by], owner[by], n[by].astype(np.int64), [marks[k] for k in by.tolist()]
         first = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
         count = np.diff(np.append(first, len(gid)))
-        two = first[count == 2]
-        apart = np.bitwise_count(marks[two] ^ marks[two + 1]).sum(axis=1, dtype=np.int64)
+        # most groups are pairs of sets of ordinary size: all of them at once
+        plain = (count == 2) & (np.maximum(n[first], n[np.minimum(first + 1, len(n) - 1)]) <= BITS)
+        two = first[plain]
+        left, right = (np.frombuffer(b"".join(marks[k] for k in at.tolist()), "<u8").reshape(-1, BITS // 64) for at in (two, two + 1))
+        apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
         n1, n2 = n[two], n[two + 1]
         two = two[(7 * apart <= n1 + n2) & (4 * n1 >= 3 * n2) & (4 * n2 >= 3 * n1)]
         pairs = set(zip(owner[two].tolist(), owner[two + 1].tolist()))
-        for a, c in zip(first[count > 2].tolist(), count[count > 2].tolist()):
-            own = owner[a : a + c]
-            pairs.update((int(own[p]), int(own[q])) for p, q in SignatureTree(n[a : a + c], marks[a : a + c]).spanning())
+        for a, c in zip(first[~plain].tolist(), count[~plain].tolist()):
+            pairs.update((int(owner[a + p]), int(owner[a + q])) for p, q in spanning(n[a : a + c], marks[a : a + c]))
         return _edges(pairs)
 
     rows = grouped.join(classes.select("class", "n", "signature"), "class").withColumn("slot", F.pmod(F.col("gid"), F.lit(slots)).cast("int"))
@@ -264,9 +289,9 @@ def links(docs: DataFrame, members: DataFrame, slots: int) -> DataFrame:
         for rows in tasks.values():
             at = list(rows.values())
             if len(at) > 1:
-                marks = np.frombuffer(b"".join(signature(sets[k]) for k in at), "<u8").reshape(-1, BITS // 64)
-                tree = SignatureTree(np.array([len(sets[k]) for k in at], dtype=np.int64), marks)
-                pairs.update((int(owner[at[p]]), int(owner[at[q]])) for p, q in tree.spanning(lambda p, q: linked(sets[at[p]], sets[at[q]])))
+                sizes = np.array([len(sets[k]) for k in at], dtype=np.int64)
+                found = spanning(sizes, [signature(sets[k]) for k in at], lambda p, q: linked(sets[at[p]], sets[at[q]]))
+                pairs.update((int(owner[at[p]]), int(owner[at[q]])) for p, q in found)
         return _edges(pairs)
 
     return texts.select("slot", "cluster", "i", "j", "class", "text").groupBy("slot").applyInArrow(verify, "a long, b long")
