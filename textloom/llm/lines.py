@@ -113,26 +113,37 @@ def _place(*more: str) -> F.Column:
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """key, kind (0 whole, 1 without a word, 2 the same with its place), place of each line's variants."""
+    """key, kind (0 whole, 1 without a word, 2 the same with its place), rank of each line's variants.
+
+    shared says which half keys the line shares with another (bits 0, 2: first words; 1, 3: last words);
+    an edit then lies behind the shared first words or before the shared last ones.
+    """
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             words, bounds = word_hashes(batch.column("text"))
-            for a in range(batch.num_rows):  # lines one by one: a line of n words has 2n + 1 variants
-                own = words[bounds[a] : bounds[a + 1]]
-                n = len(own)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * powers(BASE, n), dtype=np.uint64)])
-                without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(INVERSE)
-                less = mixed(without + np.uint64(n - 1))
-                placed = mixed(less + mixed(np.arange(1, n + 1, dtype=np.uint64)))
-                key = np.concatenate([mixed(sums[-1:] + np.uint64(n)), less, placed]).view(np.int64)
-                kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [1, n, n])
-                same = [pa.array(np.full(2 * n + 1, batch.column(c)[a].as_py(), dtype=t)) for c, t in (("ord", np.int64), ("line", np.int32), ("h1", np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), *same], names=["key", "kind", "ord", "line", "h1"])
-
-    return lines.select("ord", "line", "h1", "text").mapInArrow(run, "key long, kind tinyint, ord long, line int, h1 long")
+            counts = np.diff(bounds)
+            line = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(words)) - bounds[:-1][line]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, int(counts.max(initial=1)))[at], dtype=np.uint64)])
+            total = sums[bounds[1:]] - sums[bounds[:-1]]
+            ahead, behind = sums[:-1] - sums[bounds[:-1]][line], sums[bounds[1:]][line] - sums[1:]
+            less = mixed(ahead + behind * np.uint64(INVERSE) + (counts[line] - 1).astype(np.uint64))
+            placed = mixed(less + mixed(at.astype(np.uint64) + np.uint64(1)))
+            shared, half = batch.column("shared").to_numpy()[line], halves(counts)[line]
+            back = counts[line] - 1 - at
+            kept = np.zeros(len(words), dtype=bool)
+            for bit, place, least in ((1, at, half), (2, back, half), (4, at, half // 2), (8, back, half // 2)):
+                kept |= (shared & bit > 0) & (place >= least)
+            rank = batch.column("rank").to_numpy()
+            own = rank[line][kept]
+            key = np.concatenate([mixed(total + counts.astype(np.uint64)), less[kept], placed[kept]]).view(np.int64)
+            kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(rank), len(own), len(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.concatenate([rank, own, own]))], names=["key", "kind", "rank"])
+
+    return lines.select("rank", "shared", "text").mapInArrow(run, "key long, kind tinyint, rank long")
 
 
 def within_one(a: list, b: list) -> bool:
@@ -147,31 +158,33 @@ def within_one(a: list, b: list) -> bool:
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1 of first lines that an earlier first line is near to, and that line's ord."""
-    halves = firsts.select("h1", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half")).where("half is not null")
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    open_ = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    wanted = firsts.join(open_, "h1", "left_semi").select("ord", "line", "h1")
+    keys = firsts.select("h1", F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("place", "half")).where("half is not null")
+    again = keys.groupBy("half").count().where("count > 1").select("half")
+    open_ = keys.join(again, "half", "left_semi").groupBy("h1").agg(F.expr("bit_or(shiftleft(1, place))").alias("shared"))
+    wanted = firsts.join(open_, "h1").select("ord", "line", "h1", "shared")
     # the lines of a document that are wanted: never more than its own lines
-    per_doc = wanted.groupBy("ord").agg(F.collect_list(F.struct("line", "h1")).alias("lines"))
+    per_doc = wanted.groupBy("ord").agg(F.collect_list(F.struct("line", "h1", "shared")).alias("lines"))
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.split("text", "\n").alias("all"))
     picked = texts.join(per_doc, "ord").select("ord", "all", F.explode("lines").alias("at"))
-    lines = cut(picked.where(F.col("at.line") < F.size("all")).select("ord", "at.line", "at.h1", F.element_at("all", F.col("at.line") + 1).alias("text")), "lines")
+    picked = picked.where(F.col("at.line") < F.size("all")).select("ord", "at.line", "at.h1", "at.shared", F.element_at("all", F.col("at.line") + 1).alias("text"))
+    # dealt by range and numbered in order: rank compares as (ord, line) does, in one long
+    in_order = picked.repartitionByRange("ord", "line").sortWithinPartitions("ord", "line")
+    lines = cut(in_order.withColumn("rank", F.monotonically_increasing_id()), "lines")
     variants = neighbourhood(lines)
-    place = F.struct("ord", "line", "h1")
-    least = [F.min(F.when(F.col("kind") == k, place)).alias(f"least{k}") for k in (0, 1, 2)]
-    keys = variants.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *least).where("rows > 1").drop("rows")
+    least = [F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"least{k}") for k in (0, 1, 2)]
+    groups = variants.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *least).where("rows > 1").drop("rows")
     other = F.when(F.col("kind") == 0, F.col("least1")).when(F.col("kind") == 1, F.col("least0")).otherwise(F.col("least2"))
-    joined = variants.join(keys, "key").withColumn("other", other).where(F.col("other") < place)
-    earliest = joined.groupBy("h1").agg(F.min("other").alias("other")).select("h1", F.col("other.ord").alias("earlier"), F.col("other.h1").alias("other"))
-    text = lines.groupBy("h1").agg(F.min("text").alias("text"))
-    pairs = earliest.join(text, "h1").join(text.select(F.col("h1").alias("other"), F.col("text").alias("other_text")), "other")
+    joined = variants.join(groups, "key").withColumn("other", other).where(F.col("other") < F.col("rank"))
+    earliest = joined.groupBy("rank").agg(F.min("other").alias("other"))
+    pairs = earliest.join(lines.select("rank", "h1", "text"), "rank")
+    pairs = pairs.join(lines.select(F.col("rank").alias("other"), F.col("ord").alias("earlier"), F.col("text").alias("other_text")), "other")
 
     @F.pandas_udf("boolean")
     def verified(left: pd.Series, right: pd.Series) -> pd.Series:
         words = lambda t: t.encode().lower().split()
         return pd.Series([within_one(words(a), words(b)) for a, b in zip(left, right)], dtype=bool)
 
-    return pairs.where(verified("text", "other_text")).select("h1", "earlier")
+    return pairs.where(verified("text", "other_text")).groupBy("h1").agg(F.min("earlier").alias("earlier"))
 
 
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
