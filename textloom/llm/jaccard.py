@@ -37,7 +37,7 @@ FANOUT = 16
 #: Frequent shingles: share of documents from which on they go last, and how many of them at most.
 FREQUENT_SHARE, FREQUENT_MOST = 0.001, 100_000
 #: Shingles of a cluster that one task takes; larger clusters are dealt out in pairs of blocks.
-CLUSTER_SHINGLES = 4 << 20
+CLUSTER_SHINGLES = 1 << 20
 
 DIGEST = "doc_id long, class long, n int, signature binary"
 
@@ -278,7 +278,7 @@ def links(docs: DataFrame, members: DataFrame, slots: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id").eqNullSafe(F.col("of")))
 
     def verify(table: pa.Table) -> pa.Table:
-        sets = shingle_sets(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+        sets = [own for batch in table.to_batches() for piece in slices(batch) for own in shingle_sets(piece.column("text"))]
         owner = table.column("class").to_numpy()
         keys = list(zip(*(table.column(c).to_pylist() for c in ("cluster", "i", "j"))))
         tasks: dict = {}
