@@ -7,10 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, or a temporary folder where it is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="textloom-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
