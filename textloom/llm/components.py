@@ -1,6 +1,6 @@
 """Connected components of an edge table, without bringing edges to the driver.
 
-Each round, every partition contracts its edges with a local union-find to stars around the smallest
+Rounds of distributed contraction until what is left is small, then one task. Each round, every partition contracts its edges with a local union-find to stars around the smallest
 node, then each node points all the centres it was given to the smallest of them. Rounds are written to
 the shared folder, so a lost executor repeats one round at most. Long chains shrink by whole partitions
 per round; a node's row never holds more centres than there are partitions.
@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut
 
 
+STAR = "node long, root long"
+#: Edges that one task contracts: 16 bytes each, some 150 MB at work.
+EDGES_IN_TASK = 1 << 20
+
+
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and their component's smallest node, for nodes that are not the smallest."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -49,15 +54,19 @@ def _stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["node", "root"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b: long) but the smallest of its component, the root."""
-    current = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, "node long, root long"), "edges")
-    while True:
+def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
+    """(node, root) for each node of edges (a, b: long) but the smallest of its component, the root.
+
+    Once the contracted edges fit into one task, that task finishes them; until then rounds go on.
+    """
+    current = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, STAR), "edges")
+    while current.count() > in_task:
         given = current.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots"))
         pairs = given.select(F.explode(F.array_union(F.array("node"), "roots")).alias("node"), F.col("low").alias("root"))
-        pairs = cut(pairs.where("node <> root").distinct().repartition("root").mapInArrow(_stars, "node long, root long").distinct(), "stars")
+        pairs = cut(pairs.where("node <> root").distinct().repartition("root").mapInArrow(_stars, STAR).distinct(), "stars")
         several = pairs.groupBy("node").count().where("count > 1").isEmpty()
         centres = pairs.select(F.col("root").alias("node")).distinct()
         if several and pairs.join(centres, "node", "left_semi").isEmpty():
             return pairs
         current = pairs
+    return cut(current.coalesce(1).mapInArrow(_stars, STAR), "stars")
