@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow rows per Python batch; together with the text bytes below it bounds a worker's memory.
-BATCH_BYTES = 8 << 20
+#: Text that a worker takes at a time. Array code needs some thirty times this while it works.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -63,13 +63,13 @@ def partitions_for(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> i
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text"):
-    """Cut an Arrow batch into row ranges of about BATCH_BYTES, so that long texts don't pile up."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES):
+    """Cut an Arrow batch into row ranges of about `limit` bytes, so that long texts don't pile up."""
     n = batch.num_rows
     if not n:
         return
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(lengths) // BATCH_BYTES
+    group = np.cumsum(lengths) // limit
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
     for a, b in zip(edges[:-1], edges[1:]):
         yield batch.slice(a, b - a)

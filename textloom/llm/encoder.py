@@ -1,9 +1,10 @@
 """Fast exact encoding of whole texts with a byte-level BPE file of the tokenizers library.
 
-The pre-tokenizer of a byte-level BPE never joins characters across a single space that stands
-between two non-space characters: the space always opens a new piece. A text can therefore be cut
-at such spaces, each piece (with its space) encoded alone, and the ids concatenated. Pieces repeat,
-so a bounded cache per worker saves most of the library's work. A text with runs of white space is
+The pre-tokenizer of a byte-level BPE never joins characters across a single space that stands between
+two non-space characters (the space opens a new piece), nor across a letter and a sign after it, the
+apostrophe excepted. A text can therefore be cut at both, each piece encoded alone by the library, and
+the ids concatenated. Pieces repeat: Arrow numbers the distinct ones of a batch, and a bounded cache per
+worker keeps the ids of those seen lately. A text in which a cut would touch further white space is
 given to the library whole. tests/llm compare both ways.
 """
 
@@ -19,9 +20,11 @@ from textloom.llm.common import tokenizer_path
 
 #: Entries of each generation of a worker's cache: some 150 MB at most.
 CACHED_PIECES = 350_000
-#: ASCII signs that stand after words; the apostrophe is not among them, as contractions bind it.
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LONGEST_CACHED = 48
+#: Text encoded at a time: pieces repeat within it, so more costs less, up to the memory it takes.
+BATCH_BYTES = 6 << 20
+#: A letter and an ASCII sign after it; the apostrophe is no such sign, as contractions bind it.
+LETTER_SIGN = r"(\pL)([!-&(-/:-@\[-`{-~])"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -40,30 +43,21 @@ class Generations:
     def __init__(self, size: int) -> None:
         self.size, self.young, self.old = size, {}, {}
 
-    def find(self, key: str):
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.young[key] = value
-        return value
-
-    def keep(self, fresh: dict[str, bytes]) -> None:
+    def keep(self, keys: list[str], values: list[bytes]) -> None:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        self.young.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_CACHED)
+        self.young.update([(k, v) for k, v in zip(keys, values) if len(k) <= LONGEST_CACHED])
 
 
 class Encoder:
     def __init__(self, path: str, cached: int = CACHED_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.pieces = Generations(cached)
-        self.opens = np.array([(self.library.id_to_token(k) or "").startswith("\u0120") for k in range(self.library.get_vocab_size())])
+        self.opens = np.array([(self.library.id_to_token(k) or "").startswith("Ġ") for k in range(self.library.get_vocab_size())])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -84,79 +78,52 @@ class Encoder:
                 out += [raw[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
         return out
 
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        """Keys of the words and signs that a piece consists of; NUL marks those without a space."""
-        word = piece.rstrip(SIGNS)
-        if word.isalpha():  # letters, then signs: two parts, the first with the piece's space
-            return word, "\0" + piece[len(word) :]
-        opening = piece[:1] == "\0"
-        first, *rest = self.split(piece[1:] if opening else " " + piece)
-        return ("\0" + first if opening else first[1:], *["\0" + x for x in rest])
-
-    def _resolve(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that the cache lacks, by way of the words and signs they consist of."""
-        parts = {p: self._parts(p) for p in missing if not p.isalpha()}
-        wanted = dict.fromkeys(p for p in missing if p not in parts)
-        known = {}
-        for words in parts.values():
-            for w in words:
-                if w not in known and w not in wanted:
-                    value = self.pieces.find(w)
-                    if value is None:
-                        wanted[w] = None
-                    else:
-                        known[w] = value
-        keys = list(wanted)
-        plain = [w for w in keys if w.isalpha()]
-        other = [w for w in keys if not w.isalpha()]
-        fresh = dict(zip(plain, self._word_ids(plain)))
-        fresh.update(zip(other, self._ids([w[1:] if w[:1] == "\0" else " " + w for w in other])))
-        self.pieces.keep(fresh)
-        known.update(fresh)
-        for p, words in parts.items():
-            known[p] = b"".join([known[w] for w in words])
-        return known
-
     def _look_up(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
-        """Ids of distinct pieces, and which of them stand beside white space and can't be cut out."""
+        """Ids of distinct pieces, and which of them stand beside white space and can't be cut out.
+
+        A piece has a space before it unless NUL marks it as opening its text or as a sign after a letter.
+        """
         values = list(map(self.pieces.young.get, pieces))
-        missing, odd = [], []
-        for i in [i for i, v in enumerate(values) if v is None]:
+        gaps, older = [i for i, v in enumerate(values) if v is None], self.pieces.old.get
+        words, other, odd = [], [], []
+        for i in gaps:
             p = pieces[i]
-            if (v := self.pieces.find(p)) is not None:
+            if (v := older(p)) is not None:
                 values[i] = v
-            elif p.strip() != p or p in ("", "\0") or p[:1] == "\0" and p[1].isspace():
+            elif p.isalpha():
+                words.append(i)
+            elif p.strip() != p or p in ("", "\0") or p[0] == "\0" and p[1].isspace():
                 odd.append(i)
-                values[i] = b""
             else:
-                missing.append(i)
-        if missing:
-            fresh = self._resolve([pieces[i] for i in missing])
-            for i in missing:
-                values[i] = fresh[pieces[i]]
-            self.pieces.keep({pieces[i]: values[i] for i in missing})
+                other.append(i)
+        for at, ids in ((words, self._word_ids([pieces[i] for i in words])), (other, self._ids([pieces[i][1:] if pieces[i][0] == "\0" else " " + pieces[i] for i in other]))):
+            for i, v in zip(at, ids):
+                values[i] = v
+        for i in odd:
+            values[i] = b""
+        known = [i for i in gaps if values[i]]
+        self.pieces.keep([pieces[i] for i in known], [values[i] for i in known])
         return values, odd
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one behind the other, and the n + 1 places where texts begin and end.
-
-        Arrow cuts the texts and numbers the distinct pieces, so Python sees each of them once a batch.
-        """
+        """The ids of all texts one behind the other, and the n + 1 places where texts begin and end."""
         if not len(texts):
             return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
         texts = texts.cast(pa.large_string()).fill_null("")
         marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        marked = pc.replace_substring_regex(marked, pattern=LETTER_SIGN, replacement="\\1 \0\\2")
         cut = pc.split_pattern(marked, pattern=" ")
         places = cut.offsets.to_numpy().astype(np.int64)
         numbered = cut.flatten().dictionary_encode()
         values, odd = self._look_up(numbered.dictionary.to_pylist())
         index = numbered.indices.to_numpy()
         sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        starts = np.cumsum(sizes) - sizes
         each = sizes[index]
         ends = np.cumsum(each)
-        at = np.repeat(starts[index] - ends + each, each)
-        at += np.arange(len(at))
+        small = np.int32 if max(int(ends[-1]), int(sizes.sum())) < 1 << 31 else np.int64
+        at = np.repeat((starts[index] - ends + each).astype(small), each)
+        at += np.arange(len(at), dtype=small)
         ids = np.frombuffer(b"".join(values), dtype="<u4")[at]
         bounds = np.concatenate([[0], ends])[places - places[0]]
         whole = set(np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)).tolist())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import crc_u32, cut, slices
-from textloom.llm.encoder import encoder
+from textloom.llm.encoder import BATCH_BYTES, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     def cut_up(batches):
         enc, tail = encoder(path), np.array([end_id], dtype="<u4")
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=BATCH_BYTES):
                 cols = [[], [], [], [], [], []]
                 flat, bounds = enc.encode_flat(part.column("text"))
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):

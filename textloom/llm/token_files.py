@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import crc_u32, cut, input_bytes, partitions_for, slices
-from textloom.llm.encoder import encoder
+from textloom.llm.encoder import BATCH_BYTES, encoder
 
 MAGIC = b"TLEF1\0"
 HEAD = struct.Struct("<6sBxQQQ")
@@ -135,7 +135,7 @@ def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "seq", "n_docs", "n_ids", "file"])
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=BATCH_BYTES):
                 flat, bounds = enc.encode_flat(piece.column("text"))
                 for key, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     keys.append(key)
