@@ -240,8 +240,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         def leaking(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             cache: dict[bytes, int] = {}
             for texts in batches:
-                out = np.zeros(len(texts), dtype=bool)
-                out[sorted({r[0] for r in index.scan(pa.array(texts, pa.string(), from_pandas=True), cache)})] = True
+                out, at = np.zeros(len(texts), dtype=bool), 0
+                batch = pa.record_batch([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
+                for part in slices(batch):
+                    out[sorted({at + r[0] for r in index.scan(part.column("text"), cache)})] = True
+                    at += part.num_rows
                 yield pd.Series(out)
 
         return leaking

@@ -63,7 +63,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=4 << 20):
                 sets = shingle_sets(part.column("text"))
                 classes = [class_of(s) for s in sets]
                 ids = part.column("doc_id").to_pylist()
