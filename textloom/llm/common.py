@@ -12,19 +12,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Text that a worker takes at a time. Array code needs some thirty times this while it works.
 BATCH_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way between the JVM and Python.
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes: texts may be long, and a batch is held by the JVM and by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one table, read by Spark so that any store works."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    bound_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
@@ -54,8 +62,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the scanned files; used only to choose partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files below df; sources whose size is unknown count as nothing. For partition counts."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def partitions_for(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> int:
@@ -75,6 +85,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES
         yield batch.slice(a, b - a)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_u32(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
@@ -89,6 +107,3 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
     return public_tokenizers.path(name)
 
-
-def null_safe_text() -> F.Column:
-    return F.coalesce(F.col("text"), F.lit(""))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, slices
+from textloom.llm.common import cut, slices, unused
 from textloom.llm.words import mixed, word_hashes
 
 MIN_WORDS = 4
@@ -220,24 +220,26 @@ def decisions(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines taken out of text; n_chars, where there is one, follows."""
     _, gone = dropped_lines(docs)
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1")).alias("_gone")).withColumnRenamed("doc_id", "_of")
+    of, marks, fresh = (unused(docs, x) for x in ("of", "marks", "fresh"))
+    per_doc = gone.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("line", "h1")).alias(marks))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
-        for text, marks in zip(texts, gone):
+        for text, own_marks in zip(texts, gone):
             own = (text or "").split("\n")
             hashes = hashed(pa.array(own, pa.string()))[1].view(np.int64).tolist()
-            drop = {(m["line"], m["h1"]) for m in marks}
+            drop = {(m["line"], m["h1"]) for m in own_marks}
             kept = [x for k, x in enumerate(own) if (k, hashes[k]) not in drop]
             out.append("\n".join(kept) if any(x.strip() for x in kept) else None)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    touched = F.col("_gone").isNotNull()
-    joined = joined.withColumn("_new", F.when(touched, without(F.col("text"), F.coalesce("_gone", F.expr("array()").cast("array<struct<line:int,h1:bigint>>")))).otherwise(F.col("text")))
-    joined = joined.where(~touched | F.col("_new").isNotNull())
-    values = {"text": F.col("_new")}
+    joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left")
+    touched = F.col(marks).isNotNull()
+    none = F.expr("array()").cast("array<struct<line:int,h1:bigint>>")
+    joined = joined.withColumn(fresh, F.when(touched, without(F.col("text"), F.coalesce(marks, none))).otherwise(F.col("text")))
+    joined = joined.where(~touched | F.col(fresh).isNotNull())
+    values = {"text": F.col(fresh)}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(touched, F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(touched, F.length(fresh)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -170,7 +170,7 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
         for kind, found in base_spans(plain).items():
             for a, b in found:
                 span = int(low[a]), int(high[b - 1])
-                if all(span[1] <= x or y <= span[0] for x, y in base[kind]):
+                if not any(x <= span[0] and span[1] <= y for x, y in base[kind]):
                     added[kind].append(span)
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     first = sorted(((k, a, b) for k in KINDS for a, b in base[k]), key=order)

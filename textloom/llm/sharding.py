@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.common import unused
+
 SHARDS = 16
 SEED = 20_231
 #: Rows of digest per bucket: some 60 bytes each, so a bucket takes about 128 KB.
@@ -70,8 +72,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     so no task holds more than its share of buckets and Spark may spill them.
     """
     buckets = max(1, -(-docs.count() // (shards * bucket_rows)))
+    bucket = unused(docs, "bucket")
     shard = F.array_max(F.array(*_weights("doc_id", shards, seed)))["k"]
     salt = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
-    placed = docs.withColumn("_shard", shard).withColumn("_bucket", F.pmod(salt, F.lit(buckets)).cast("int"))
+    placed = docs.withColumn("_shard", shard).withColumn(bucket, F.pmod(salt, F.lit(buckets)).cast("int"))
     order = F.xxhash64(F.lit(seed + 2), "doc_id", "text")
-    placed.repartition("_shard", "_bucket").sortWithinPartitions("_shard", "_bucket", order).drop("_bucket").write.partitionBy("_shard").parquet(path)
+    placed.repartition("_shard", bucket).sortWithinPartitions("_shard", bucket, order).drop(bucket).write.partitionBy("_shard").parquet(path)
