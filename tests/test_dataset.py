@@ -97,3 +97,17 @@ def test_repartitioning_changes_nothing(spark):
     spread = Dataset(data.df.repartition(7))
     key = lambda v: F.substring(v, 1, 2)
     assert sorted(data.group_by(key).collect()) == sorted(spread.group_by(key).collect())
+
+
+def test_job_context(spark, tmp_path):
+    from textloom.operators.context import Context
+
+    def job(context, arguments):
+        context.store.save("words", context.parallelize(arguments).df.withColumnRenamed("value", "key"))
+        context.set_concurrency_level(4)
+        found = context.from_table("words", F.when(F.col("key") != "b", F.col("key")))
+        context.output("Worked, and the arguments are: " + ",".join(sorted(found.collect())))
+
+    assert Context.run(spark, str(tmp_path), job, ["c", "b", "a"]) == "Worked, and the arguments are: a,c"
+    with pytest.raises(ZeroDivisionError):
+        Context.run(spark, str(tmp_path), lambda c, a: 1 / 0, [])
