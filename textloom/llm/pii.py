@@ -45,7 +45,8 @@ STRANGE = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～٠-٩۰-۹
 _WORD = "(?:(?:double|triple)[ -])?(?:" + "|".join(DIGIT_WORDS) + ")"
 RULES = re.compile(
     rf"(?P<strange>{STRANGE.pattern})"
-    r"|(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\s+at\s+(?=[\w-]+(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+)\w)"
+    r"|(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\s+at\s+(?=[\w-]+\s*[\[({]\s*dot\s*[\])}]\s*\w)"
+    rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+(?:{ENDINGS})\b)"
     rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b))"
     r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=\w)\s+dot\s+(?=\w))"
     rf"|(?P<plus>\bplus[ -]+(?=[0-9]|{_WORD}\b))"
