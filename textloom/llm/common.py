@@ -83,6 +83,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
     for a, b in zip(edges[:-1], edges[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -11,6 +11,9 @@ given to the library whole. tests/llm compare both ways.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ from textloom.llm.common import tokenizer_path
 
 #: Entries of each generation of a worker's cache: some 150 MB at most.
 CACHED_PIECES = 350_000
+#: Entries that stay when a task ends: the worker process goes on to other work.
+KEPT_PIECES = 50_000
 LONGEST_CACHED = 48
 #: Text encoded at a time: pieces repeat within it, so more costs less, up to the memory it takes.
 BATCH_BYTES = 6 << 20
@@ -36,6 +41,16 @@ def encoder(path: str | None = None) -> "Encoder":
     return _encoders[path]
 
 
+@contextmanager
+def task_encoder(path: str | None = None) -> Iterator["Encoder"]:
+    """The worker's encoder for the length of a task."""
+    own = encoder(path)
+    try:
+        yield own
+    finally:
+        own.pieces.trim(KEPT_PIECES)
+
+
 class Generations:
     """A bounded dictionary: when the young generation is full it becomes the old one, so entries
     that are still in use survive and the others go."""
@@ -48,6 +63,10 @@ class Generations:
             self.old, self.young = self.young, {}
         self.young.update([(k, v) for k, v in zip(keys, values) if len(k) <= LONGEST_CACHED])
 
+    def trim(self, most: int) -> None:
+        """Keep the entries that came first, mostly the common ones, and give back the others' memory."""
+        self.old, self.young = {}, dict(islice(self.young.items(), most))
+
 
 class Encoder:
     def __init__(self, path: str, cached: int = CACHED_PIECES) -> None:

@@ -226,12 +226,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
-        for text, own_marks in zip(texts, gone):
-            own = (text or "").split("\n")
-            hashes = hashed(pa.array(own, pa.string()))[1].view(np.int64).tolist()
-            drop = {(m["line"], m["h1"]) for m in own_marks}
-            kept = [x for k, x in enumerate(own) if (k, hashes[k]) not in drop]
-            out.append("\n".join(kept) if any(x.strip() for x in kept) else None)
+        for k in range(0, len(texts), 500):  # lines of some documents at a time are hashed together
+            own = [(t or "").split("\n") for t in texts.iloc[k : k + 500]]
+            hashes = iter(hashed(pa.array([x for lines in own for x in lines], pa.large_string()))[1].view(np.int64).tolist())
+            for lines, own_marks in zip(own, gone.iloc[k : k + 500]):
+                drop = {(m["line"], m["h1"]) for m in own_marks}
+                marked = [(n, h) in drop for n, h in zip(range(len(lines)), hashes)]
+                kept = [x for x, m in zip(lines, marked) if not m]
+                out.append("\n".join(kept) if any(x.strip() for x in kept) else None)
         return pd.Series(out, dtype=object)
 
     joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import crc_u32, cut, slices
-from textloom.llm.encoder import BATCH_BYTES, encoder
+from textloom.llm.encoder import BATCH_BYTES, task_encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -42,21 +42,22 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian 32 bit) of every piece."""
 
     def cut_up(batches):
-        enc, tail = encoder(path), np.array([end_id], dtype="<u4")
-        for batch in batches:
-            for part in slices(batch, limit=BATCH_BYTES):
-                cols = [[], [], [], [], [], []]
-                flat, bounds = enc.encode_flat(part.column("text"))
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                    ids = np.append(flat[a:b], tail)
-                    for k, (start, length) in enumerate(cut_points(len(ids), capacity)):
-                        own = ids[start : start + length]
-                        for col, x in zip(cols, (doc_id, k, start, length, crc_u32(own), own.tobytes() if keep_ids else None)):
-                            col.append(x)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 6 if keep_ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types)], names=names[:n])
+        tail = np.array([end_id], dtype="<u4")
+        with task_encoder(path) as enc:
+            for batch in batches:
+                for part in slices(batch, limit=BATCH_BYTES):
+                    cols = [[], [], [], [], [], []]
+                    flat, bounds = enc.encode_flat(part.column("text"))
+                    for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                        ids = np.append(flat[a:b], tail)
+                        for k, (start, length) in enumerate(cut_points(len(ids), capacity)):
+                            own = ids[start : start + length]
+                            for col, x in zip(cols, (doc_id, k, start, length, crc_u32(own), own.tobytes() if keep_ids else None)):
+                                col.append(x)
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                    n = 6 if keep_ids else 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types)], names=names[:n])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, PIECES + (", ids binary" if keep_ids else ""))
 

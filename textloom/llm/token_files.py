@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import crc_u32, cut, input_bytes, partitions_for, slices
-from textloom.llm.encoder import BATCH_BYTES, encoder
+from textloom.llm.encoder import BATCH_BYTES, task_encoder
 
 MAGIC = b"TLEF1\0"
 HEAD = struct.Struct("<6sBxQQQ")
@@ -125,8 +125,7 @@ def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
     dealt = rows.repartitionByRange(partitions_for(spark, 2 * input_bytes(docs)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches):
-        enc, tail, part = encoder(path), np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
-        width = 2 if max(enc.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        tail, part, width = np.array([end_id], dtype="<u4"), TaskContext.get().partitionId(), 2
         keys, ids, held, seq = [], [], 0, 0
 
         def flush():
@@ -134,18 +133,20 @@ def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "seq", "n_docs", "n_ids", "file"])
 
-        for batch in batches:
-            for piece in slices(batch, limit=BATCH_BYTES):
-                flat, bounds = enc.encode_flat(piece.column("text"))
-                for key, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                    keys.append(key)
-                    ids.append(np.append(flat[a:b], tail))
-                    held += b - a + 1
-                    if held >= file_ids:
-                        yield flush()
-                        keys, ids, held, seq = [], [], 0, seq + 1
-        if keys:
-            yield flush()
+        with task_encoder(path) as enc:
+            width = 2 if max(enc.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+            for batch in batches:
+                for piece in slices(batch, limit=BATCH_BYTES):
+                    flat, bounds = enc.encode_flat(piece.column("text"))
+                    for key, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                        keys.append(key)
+                        ids.append(np.append(flat[a:b], tail))
+                        held += b - a + 1
+                        if held >= file_ids:
+                            yield flush()
+                            keys, ids, held, seq = [], [], 0, seq + 1
+            if keys:
+                yield flush()
 
     return cut(dealt.mapInArrow(encode, FILES), "token-files")
 
