@@ -19,7 +19,7 @@ def frontier(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> D
     """
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     front, depth = seen, 0
-    links = links.select("src", "dst").distinct()
+    links = checkpointed(links.select("src", "dst").distinct().repartition("src"))
     while rounds is None or depth < rounds:
         depth += 1
         found = front.join(links, front.url == links.src).select(F.col("dst").alias("url")).distinct()
