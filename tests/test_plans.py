@@ -80,3 +80,30 @@ def test_spelling(spark):
     found = {r["word"]: (r["suggestion"], r["distance"]) for r in search.correct(terms, ["aple", "pea", "zzzz", "bpple"]).collect()}
     assert found == {"aple": ("ample", 1), "bpple": ("apple", 1)}
     assert [r["term"] for r in search.autocomplete(terms.select(F.col("term")), "AP").collect()] == ["apple"]
+
+
+def test_crawl(spark):
+    a = lambda *links: "".join(f'<a href="{x}">x</a>' for x in links)
+    base = "http://s.com:80"
+    pages = spark.createDataFrame(
+        [
+            (f"{base}/", a("/one", "/two", "/no/x", "/gone", "/moved")), (f"{base}/one", a("/", "/three")), (f"{base}/two", "same"),
+            (f"{base}/three", "same"), (f"{base}/no/x", "hidden"), (f"{base}/new", "target"),
+        ],
+        "url string, html string",
+    )
+    seeds = spark.createDataFrame([("http://s.com",)], "url string")
+    robots = spark.createDataFrame([("s.com", "User-agent: *\nDisallow: /no")], "host string, robots string")
+    redirects = spark.createDataFrame([(f"{base}/moved", f"{base}/new")], "url string, target string")
+    found = {r["url"][len(base) :]: (r["depth"], r["canonical"][len(base) :]) for r in crawl.crawl(seeds, pages, robots, redirects).collect()}
+    assert found == {"/": (0, "/"), "/one": (1, "/one"), "/two": (1, "/two"), "/new": (1, "/new"), "/three": (2, "/two")}
+    assert crawl.crawl(seeds, pages, cap=2).count() == 2
+    late = crawl.crawl(seeds, pages, robots, redirects, defer=0.3)
+    assert {r["url"][len(base) :] for r in late.collect()} == set(found)
+    assert crawl.crawl(seeds, pages, rounds=1).count() == 1
+
+
+def test_redirect_chains(spark):
+    hops = spark.createDataFrame([(str(k), str(k + 1)) for k in range(1, 6)], "url string, target string")
+    urls = spark.createDataFrame([("1",), ("3",), ("9",)], "url string")
+    assert sorted(r["url"] for r in crawl.resolve_redirects(urls, hops).collect()) == ["6", "9"]

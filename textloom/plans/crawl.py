@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import anchors, clean_html, is_english, is_stop_word, page_words
-from textloom.functions.urls import HOST_CAP, crawl_url, is_unwanted, parse_url, robots_allowed
+from textloom.functions.urls import HOST_CAP, crawl_url, is_unwanted, parse_url, robots_allowed, robots_allowed_by_text
 from textloom.lineage import checkpointed
 
 LINKS_PER_PAGE = 30
@@ -72,3 +72,62 @@ def cleaned(pages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     if dictionary is not None:
         words = words.join(dictionary.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
     return words.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("url", F.transform("w", lambda x: x["word"]).alias("words"))
+
+
+MOST_REDIRECTS = 3
+
+
+def resolve_redirects(urls: DataFrame, redirects: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
+    """The urls (url, ...) with url followed through redirects (url, target); longer chains are dropped."""
+    hops = redirects.select(F.col("url").alias("from"), "target")
+    for _ in range(most):
+        urls = urls.join(hops, F.col("url") == F.col("from"), "left").withColumn("url", F.coalesce("target", "url")).drop("from", "target")
+    return urls.join(hops, F.col("url") == F.col("from"), "left_anti")
+
+
+def crawl(
+    seeds: DataFrame,
+    pages: DataFrame,
+    robots: DataFrame | None = None,
+    redirects: DataFrame | None = None,
+    cap: int = HOST_CAP,
+    defer: float = 0.0,
+    rounds: int | None = None,
+) -> DataFrame:
+    """An offline crawl: url, depth, canonical of the stored pages (url, html) that a crawler would store.
+
+    Each round takes the front, puts off a repeatable share of it, follows redirects, respects robots
+    (host, robots) and the cap of pages per host over all rounds, reads the pages that are there, and
+    goes on to their links that are new. canonical is the url that showed the same content first.
+    """
+    front = checkpointed(seeds.select(crawl_url(F.col("url"), F.col("url")).alias("url")).where("url is not null").distinct())
+    seen, stored, depth = front, None, 0
+    pages = pages.select("url", "html")
+    while (rounds is None or depth < rounds) and not front.isEmpty():
+        late = F.pmod(F.xxhash64("url", F.lit(depth)), F.lit(1000)) < int(defer * 1000)
+        waiting, now = front.where(late), front.where(~late)
+        if redirects is not None:
+            now = resolve_redirects(now, redirects).distinct()
+            if stored is not None:
+                now = now.join(stored.select("url"), "url", "left_anti")
+        now = now.withColumn("host", parse_url(F.col("url"))["host"])
+        if robots is not None:
+            path = parse_url(F.col("url"))["path"]
+            ruled = now.join(robots.select("host", "robots"), "host", "left")
+            now = ruled.where(robots_allowed_by_text(F.coalesce("robots", F.lit("")), path)).drop("robots")
+        now = now.join(pages.select("url"), "url", "left_semi")  # what is not there doesn't count
+        before = now.select("host").distinct().withColumn("had", F.lit(0))
+        if stored is not None:
+            before = stored.groupBy(parse_url(F.col("url"))["host"].alias("host")).agg(F.count(F.lit(1)).alias("had"))
+        nth = F.row_number().over(Window.partitionBy("host").orderBy("url"))
+        now = now.withColumn("nth", nth).where(F.col("nth") <= cap).join(before, "host", "left").where(F.col("nth") + F.coalesce("had", F.lit(0)) <= cap)
+        fetched = now.select("url").join(pages, "url").withColumn("depth", F.lit(depth))
+        found = page_links(fetched).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        fresh = checkpointed(fetched)
+        stored = fresh if stored is None else stored.unionByName(fresh)
+        found = checkpointed(found)
+        seen, front, depth = seen.unionByName(found), checkpointed(found.unionByName(waiting)), depth + 1
+    if stored is None:
+        stored = front.join(pages, "url").withColumn("depth", F.lit(0))
+    order = stored.withColumn("order", F.struct("depth", "url"))
+    return order.select("url", "depth").join(first_with_content(order.select("url", "html", "order"), "order"), "url")
