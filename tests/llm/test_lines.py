@@ -94,3 +94,12 @@ def test_odd(odd, none):
     kept = lines.dedup(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     assert lines.decisions(none).count() == 0 and lines.dedup(none).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    near = "one two three four five six seven eight nine"
+    texts = [(1, f"{near} ten\nunlike all of the others"), (7, "a b c d e f g h i j\nx"), (7, f"{near} eleven\nx"), (9, "a b c d e f g h i j k")]
+    docs = documents(spark, texts)
+    assert {r["doc_id"]: r["dropped"] for r in lines.decisions(docs).collect()} == {1: "", 7: "0", 9: "0"}
+    kept = sorted((r["doc_id"], r["text"]) for r in lines.dedup(docs).collect())
+    assert kept == [texts[0], (7, "a b c d e f g h i j\nx"), (7, "x")]

@@ -14,7 +14,7 @@ last), then line number. A line is dropped if an earlier line is the same or nea
 4. Word edit distance verifies each line against the earliest line it was joined with.
 
 Defined cases: null or empty texts have no lines to drop; a very long line is one line; equal rows are
-one document (their lines share number and hash); an empty table gives no rows. ``dedup`` returns all
+one document (their lines share number and hash); an empty table gives no rows; rows without doc_id share their places, so which of two near ones goes is open. ``dedup`` returns all
 columns, drops lines from text, and drops a document only if it had lines and none is left. Lines are
 told apart by 96 bits of hash.
 """
@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from textloom.llm.common import cut, slices, unused
 from textloom.llm.words import mixed, word_hashes
@@ -156,6 +157,12 @@ def within_one(a: list, b: list) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
+@F.pandas_udf(LongType())
+def line_hash(texts: pd.Series) -> pd.Series:
+    """h1 of lines, as line_rows makes it."""
+    return pd.Series(hashed(pa.array(texts, pa.large_string(), from_pandas=True))[1].view(np.int64))
+
+
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1 of first lines that an earlier first line is near to, and that line's ord."""
     keys = firsts.select("h1", F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("place", "half")).where("half is not null")
@@ -167,6 +174,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.split("text", "\n").alias("all"))
     picked = texts.join(per_doc, "ord").select("ord", "all", F.explode("lines").alias("at"))
     picked = picked.where(F.col("at.line") < F.size("all")).select("ord", "at.line", "at.h1", "at.shared", F.element_at("all", F.col("at.line") + 1).alias("text"))
+    # rows that share a doc_id share places: only the line with the right hash is meant
+    picked = picked.where(line_hash("text") == F.col("h1"))
     # dealt by range and numbered in order: rank compares as (ord, line) does, in one long
     in_order = picked.repartitionByRange("ord", "line").sortWithinPartitions("ord", "line")
     lines = cut(in_order.withColumn("rank", F.monotonically_increasing_id()), "lines")
