@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import unused
+from textloom.llm.common import cut, unused
 
 SHARDS = 16
 SEED = 20_231
@@ -51,14 +51,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows:
     rows = digest(docs, shards, seed).withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int")
     )
-    scattered = (
-        rows.groupBy(*place)
-        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "size", "text_crc32", "grown_shard"))).alias("held"))
-        .sortWithinPartitions(*place)  # the seeded generator then meets the buckets in a fixed order
-        .select(*place, F.shuffle("held", seed).alias("held"))
-    )
+    rows = cut(rows, "shard-digests")  # the texts are read once
+    # only the buckets' counts are added up by shard; the rows stay where their bucket is
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shuffled = scattered.withColumn("base", F.coalesce(F.sum(F.size("held")).over(before), F.lit(0)))
+    counts = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    gathered = rows.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("doc_id", "size", "text_crc32", "grown_shard"))).alias("held"))
+    # sorted, the seeded generator meets the buckets of a partition in a fixed order
+    scattered = gathered.sortWithinPartitions(*place).select(*place, F.shuffle("held", seed).alias("held"))
+    shuffled = scattered.join(bases, place)
     return shuffled.select("shard", "bucket", "base", F.posexplode("held").alias("at", "row")).select(
         "row.doc_id", "row.size", "row.text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("base") + F.col("at")).cast("long").alias("slot"), "row.grown_shard", "bucket",
