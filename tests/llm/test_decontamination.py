@@ -70,8 +70,7 @@ def test_edited_and_partial(spark):
         (4, noise), (5, f"{noise} What colour is the house? {noise}"), (6, item.split("?")[1]), (7, "too short"),
     ]
     found = [(r["doc_id"], r["item_id"]) for r in deco.leaks(documents(spark, rows), bench).collect()]
-    assert sorted(found) == [(1, 1), (1, 1), (2, 1), (2, 1)] or sorted(set(found)) == [(1, 1), (2, 1), (3, 1)]
-    assert {4, 5, 6, 7} & {d for d, _ in found} == set()
+    assert sorted(found) == [(1, 1), (1, 1), (2, 1), (2, 1)]  # the item is there twice; one changed word in twelve is under 0.75
 
 
 def test_odd(spark, odd, none, benchmark):

@@ -1,5 +1,8 @@
 """The pipeline's stages on the smallest tables, and what the entry module offers."""
 
+import duckdb
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
 from textloom.llm import queries
@@ -22,3 +25,13 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and set(queries.queries()) < set(names) and set(__spark_entry__.oracle_sql()) < set(names)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(name, spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    answer = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in answer.description]
+    found = queries.queries()[name](spark, folder).select(*names)
+    assert sorted(map(tuple, found.collect())) == sorted(answer.fetchall())

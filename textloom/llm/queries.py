@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination, html_blocks, jaccard, lines, media, packing, pii, quality, sharding, token_files
+from textloom.llm import decontamination, html_blocks, jaccard, lines, media, oracles, packing, pii, quality, sharding, token_files
 from textloom.llm.common import table
 
 
@@ -51,4 +51,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op7_line_dedup": oracles.LINES, "op9_jaccard": oracles.JACCARD}
