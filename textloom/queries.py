@@ -366,6 +366,16 @@ def index_merge(spark, folder):
     return index.merge(part(0, 60), part(40, None))
 
 
+@query(
+    "SELECT term, doc, tf FROM (SELECT term, doc, tf, row_number() OVER (PARTITION BY term, doc ORDER BY side) AS n FROM"
+    f" (SELECT *, 0 AS side FROM ({POSTINGS}) WHERE doc % 3 <> 1 UNION ALL SELECT *, 1 FROM ({POSTINGS}) WHERE doc % 3 <> 0)) WHERE n = 1"
+)
+def index_merge_all(spark, folder):
+    """The merge over all documents: two sides by remainder, which share a third."""
+    part = lambda rule: index.postings(index.term_positions(_docs(spark, folder).where(rule))).select("term", "doc", "tf")
+    return index.merge(part("doc % 3 <> 0"), part("doc % 3 <> 1"))
+
+
 HOST = "regexp_extract(url, '^[a-z]+://([^/:]*)', 1)"
 
 
@@ -399,6 +409,13 @@ def frontier_union(spark, folder):
     return pages.where("page_id < 50").select("url").union(pages.where("page_id between 30 and 80").select("url")).distinct()
 
 
+@query("SELECT url FROM pages WHERE page_id % 3 <> 0 UNION SELECT url FROM pages WHERE page_id % 3 <> 1")
+def frontier_union_all(spark, folder):
+    """The union over all pages: two sides by remainder, which share a third."""
+    pages = load(spark, folder, "pages")
+    return pages.where("page_id % 3 <> 0").select("url").union(pages.where("page_id % 3 <> 1").select("url")).distinct()
+
+
 @query(
     "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sha1(dst), dst) AS n FROM (SELECT DISTINCT url AS src,"
     " unnest(regexp_extract_all(html, '(?is)<a\\s+(?:[^>]*?\\s+)?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)) AS dst FROM pages)) WHERE n <= 3"
@@ -624,6 +641,15 @@ def crawl_frontier(spark, folder):
     return crawl.frontier(seeds, _edges(spark, folder), 3)
 
 
+@query(
+    f"WITH RECURSIVE {EDGES}, f(url, depth) USING KEY (url) AS (SELECT 'p1', 0 UNION SELECT e.dst, min(f.depth + 1) FROM f JOIN e ON f.url = e.src"
+    " WHERE e.dst NOT IN (SELECT url FROM recurring.f) GROUP BY 1) SELECT url, depth FROM f"
+)
+def crawl_frontier_all(spark, folder):
+    """The crawl until the frontier is empty."""
+    return crawl.frontier(spark.createDataFrame([("p1",)], "url string"), _edges(spark, folder))
+
+
 @query(f"SELECT DISTINCT url AS src, {PROTOCOL} || '://' || {HOST} || ':' || {PORT} || regexp_replace(href, '#.*$', '') AS dst FROM ({LINK}) WHERE href LIKE '/%' AND NOT regexp_matches(lower(href), '\\.(jpg|jpeg|gif|png|txt)$')")
 def link_graph(spark, folder):
     return graph.link_graph(load(spark, folder, "pages").select("url", "html"))
