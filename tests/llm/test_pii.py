@@ -78,3 +78,24 @@ def test_odd(odd, none):
     assert pii.find(odd).count() == len(ODD) and pii.find(none).count() == 0
     empty = pii.find(odd).where("doc_id = 1").first()
     assert empty["spans"] == "" and empty["n_email"] == 0 and empty["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["call plus 49 301 234 5678", "plus 1 (415) 555 0132", "john { at } example.com", "john < at > example.com", "john@example{.}com", "john@example( . )com", "john@example[ . ]com", "john\tat\texample.com", "john\nat\nexample.com", "john [\tat] example.com"],
+)
+def test_disguises_without_other_text(text):
+    assert pii.suspicious(text) and len(pii.all_spans(text)[1]) == 1
+
+
+def test_prefilter_passes_all_that_rules_rewrite():
+    rng = random.Random(5)
+    parts = [*"[({<])}>. \t\n-.19", "at", "At", "dot", "plus", "PLU\u017f", "one", "F\u0131ve", "double", "example", "com", "\u00e9"]
+    for _ in range(40_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert pii.suspicious(text) == (pii.RULES.search(text) is not None), text
+
+
+def test_long_white_space_stays_linear():
+    for text in ("a at b" + " " * 300_000, "dot" + "\n" * 300_000 + "[at", "plus " + "[ " * 100_000):
+        pii.all_spans(text)

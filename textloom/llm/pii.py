@@ -45,17 +45,18 @@ STRANGE = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～٠-٩۰-۹
 _WORD = "(?:(?:double|triple)[ -])?(?:" + "|".join(DIGIT_WORDS) + ")"
 RULES = re.compile(
     rf"(?P<strange>{STRANGE.pattern})"
-    r"|(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\s+at\s+(?=[\w-]+\s*[\[({]\s*dot\s*[\])}]\s*\w)"
+    r"|(?P<at>(?:(?<!\s)\s++)?[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\s+at\s+(?=[\w-]+\s*[\[({]\s*dot\s*[\])}]\s*\w)"
     rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+(?:{ENDINGS})\b)"
     rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b))"
-    r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=\w)\s+dot\s+(?=\w))"
+    r"|(?P<dot>(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=\w)\s+dot\s+(?=\w))"
     rf"|(?P<plus>\bplus[ -]+(?=[0-9]|{_WORD}\b))"
     rf"|(?P<digits>\b{_WORD}(?:[ -]+{_WORD})+\b)",
     re.IGNORECASE,
 )
-#: Cheap substring tests that any rewriting but that of strange characters needs.
-HINTS = ("dot", "at)", "at]", "at}", "at>", "at )", "at ]", "(.)", "[.]", *(w + s for w in DIGIT_WORDS for s in " -"))
-ENDING_HINT = re.compile(rf"\sat\s+[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b", re.IGNORECASE)
+#: What every alternative of RULES but that of strange characters holds in lower-case text: one cheap test for each.
+#: re.IGNORECASE lets U+0131, U+017F and U+212A stand for i, s and k; texts with those take RULES itself.
+HINT = re.compile(rf"[\s\[({{<]at[\s\])}}>]|dot|[\[({{<]\s*\.\s*[\])}}>]|plus[ -]|(?:{'|'.join(DIGIT_WORDS)})[ -]")
+FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
 
 Span = tuple[int, int]
 
@@ -156,10 +157,9 @@ def suspicious(text: str) -> bool:
     """Whether the transducer could change the text; cheap for ordinary texts."""
     if not text.isascii() and STRANGE.search(text):
         return True
-    low = text.lower()
-    if any(h in low for h in HINTS):
-        return RULES.search(text) is not None
-    return " at " in low and ("." in low) and ENDING_HINT.search(text) is not None
+    if HINT.search(text.lower()) is None and (text.isascii() or FOLDED.search(text) is None):
+        return False
+    return RULES.search(text) is not None
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
