@@ -77,3 +77,16 @@ def test_odd(spark, field):
     assert len(found) == 6 and {r["text"] for r in found if r["page_id"] in (1, 2, 3)} == {""}
     assert max(r["n_chars"] for r in found) == 11 * 50_000 - 1
     assert hb.extract(pages.limit(0), field).count() == 0
+
+
+def test_long_attributes():
+    long = "iVBORw0KGgo>" * 400_000
+    page = f"<body><p>One.</p><img src=\"data:image/png;base64,{long}\"><div data-x='{long}' class=\"content\"><p>Two.</p></div></body>"
+    found = hb.blocks(page)
+    assert [b.text for b in found] == ["One.", "Two."]
+    assert found[1].path == hb.blocks(page.replace(long, "x"))[1].path
+
+
+def test_stray_quotes_end_with_their_tag():
+    page = "<p title=\"it\"s\">One.</p>" + "<p>filler</p>" * 1000 + "<p class='b>Two.</p>"
+    assert [b.text for b in hb.blocks(page)] == ["One.", *["filler"] * 1000, "Two."]

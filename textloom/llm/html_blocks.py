@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import slices
 
+# Quotes hold a value of any length, and only after "=": a stray quote doesn't reach into the page.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*)>|<[!?/][^>]*>|([^<]+|<)",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>|<[!?/][^>]*>|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -132,7 +133,8 @@ def blocks(page: str) -> list[Block]:
                     del names[at:], steps[at:]
             if not m[4].rstrip().endswith("/"):
                 names.append(tag)
-                steps.append(_element(tag, m[4]))
+                # long attributes are not worth keeping in the cache
+                steps.append((_element if len(m[4]) <= 4000 else _element.__wrapped__)(tag, m[4]))
     flush()
     return out
 
