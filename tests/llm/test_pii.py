@@ -99,3 +99,24 @@ def test_prefilter_passes_all_that_rules_rewrite():
 def test_long_white_space_stays_linear():
     for text in ("a at b" + " " * 300_000, "dot" + "\n" * 300_000 + "[at", "plus " + "[ " * 100_000):
         pii.all_spans(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [(f"ask jane at firm dot {e} now", [("email", f"jane at firm dot {e}")]) for e in ("nl", "it", "co", "test", "museum", "NL")]
+    + [
+        ("ask jane at firm.ch now", [("email", "jane at firm.ch")]),
+        ("ask jane at mail dot firm dot nl now", [("email", "jane at mail dot firm dot nl")]),
+        ("pay 4111 1111 1111 111 one", [("card", "4111 1111 1111 111 one")]),
+        ("pay four 111 1111 1111 1111.", [("card", "four 111 1111 1111 1111")]),
+        ("call plus one (415) 555 0132", [("phone", "plus one (415) 555 0132")]),
+        ("host 192.168.one.20", [("ip", "192.168.one.20")]),
+        ("we met at noon.It was late, and sat at home.then left", []),
+    ],
+)
+def test_any_ending_and_single_digits(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text)[1]] == found
+
+
+def test_digit_words_in_folded_letters():
+    assert pii.transduce("\u017fix F\u0131ve n\u0130ne")[0] == "659"

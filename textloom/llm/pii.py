@@ -39,24 +39,30 @@ LOOKALIKES = {
 INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 TIMES = {"double": 2, "triple": 3}
-ENDINGS = "com|org|net|edu|gov|info|io|de|fr|es|uk"
+#: Any letters end a domain but words of running text that are no top-level label ("at the dot of ten").
+NO_ENDING = "the|of|and|or|but|if|then|than|that|this|these|those|there|their|they|he|she|we|you|his|her|its|our|your|with|for|from|on|was|were|are|has|have|had|not|when|where|which|who|what|how"
+ENDING = rf"(?!(?:{NO_ENDING})\b)[A-Za-z]{{2,}}\b"
+#: After a plain dot a capital begins a sentence ("at noon.It"), unless the ending is a frequent one.
+DOT_ENDING = rf"(?:(?:com|org|net|edu|gov|info|io|de|fr|es|uk)\b|(?-i:(?=[a-z]+\b|[A-Z]+\b)){ENDING})"
 
 STRANGE = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～٠-٩۰-۹०-९]")
 _WORD = "(?:(?:double|triple)[ -])?(?:" + "|".join(DIGIT_WORDS) + ")"
 RULES = re.compile(
     rf"(?P<strange>{STRANGE.pattern})"
     r"|(?P<at>(?:(?<!\s)\s++)?[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\s+at\s+(?=[\w-]+\s*[\[({]\s*dot\s*[\])}]\s*\w)"
-    rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+(?:{ENDINGS})\b)"
-    rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b))"
+    rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+{ENDING})"
+    rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\.[\w-]+)*\.{DOT_ENDING}))"
     r"|(?P<dot>(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=\w)\s+dot\s+(?=\w))"
     rf"|(?P<plus>\bplus[ -]+(?=[0-9]|{_WORD}\b))"
-    rf"|(?P<digits>\b{_WORD}(?:[ -]+{_WORD})+\b)",
+    rf"|(?P<digits>\b{_WORD}(?:[ -]+{_WORD})+\b|\b{_WORD}(?=[ ().-]{{1,2}}[0-9]| dot [0-9])"
+    rf"|(?:(?<=[0-9][ (-])|(?<=[0-9][ ().-][ (-])|(?<=[0-9]\.)|(?<=[0-9] dot )){_WORD}\b)",
     re.IGNORECASE,
 )
 #: What every alternative of RULES but that of strange characters holds in lower-case text: one cheap test for each.
 #: re.IGNORECASE lets U+0131, U+017F and U+212A stand for i, s and k; texts with those take RULES itself.
-HINT = re.compile(rf"[\s\[({{<]at[\s\])}}>]|dot|[\[({{<]\s*\.\s*[\])}}>]|plus[ -]|(?:{'|'.join(DIGIT_WORDS)})[ -]")
+HINT = re.compile(rf"[\s\[({{<]at[\s\])}}>]|dot|[\[({{<]\s*\.\s*[\])}}>]|plus[ -]|(?:{'|'.join(DIGIT_WORDS)})[ ().-]|[0-9][ ().-]{{1,2}}{_WORD}")
 FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
+FOLDS = str.maketrans("\u0131\u017f", "is")
 
 Span = tuple[int, int]
 
@@ -138,8 +144,8 @@ def transduce(text: str) -> tuple[str, np.ndarray, np.ndarray]:
                 emit({"at": "@", "dot": ".", "plus": "+"}[kind], a, b)
             else:
                 times, opened = 1, a
-                for w in re.finditer(r"[A-Za-z]+", m[0]):
-                    word = w[0].lower()
+                for w in re.finditer(r"[^ -]+", m[0]):
+                    word = w[0].lower().translate(FOLDS).replace("\u0307", "")
                     if word in TIMES:
                         times, opened = TIMES[word], a + w.start()
                     else:
