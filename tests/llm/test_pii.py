@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -51,7 +52,7 @@ def test_query_shape(small):
         ("jоhn@exаmple.com", [("email", "jоhn@exаmple.com")]),
         ("192 dot 168 dot 1 dot 20", [("ip", "192 dot 168 dot 1 dot 20")]),
         ("４５３９ 5787 6362 1486!", [("card", "４５３９ 5787 6362 1486")]),
-        ("bo​b@x.org", [("email", "bo​b@x.org"), ("email", "b@x.org")]),
+        ("bo​b@x.org", [("email", "b@x.org")]),
         ("reach bob at example.com.", [("email", "bob at example.com")]),
         ("we met at noon. One of three came at once.", []),
         ("he sat at the dot of ten", []),
@@ -120,3 +121,73 @@ def test_any_ending_and_single_digits(text, found):
 
 def test_digit_words_in_folded_letters():
     assert pii.transduce("\u017fix F\u0131ve n\u0130ne")[0] == "659"
+
+
+def test_a_base_span_is_counted_once():
+    base, every, wider = pii.three_kinds_of_spans("mail jo\u00adhn@x.com or a@b.co")
+    assert base == every == [("email", 8, 16), ("email", 20, 26)] and wider == [("email", 5, 16)]
+    assert pii.redact("mail jo\u00adhn@x.com or a@b.co") == "mail [email] or [email]"
+
+
+def test_numbers_of_any_length():
+    assert pii.all_spans("0" * 5000 + "1.2.3.4")[0] == [("ip", 0, 5007)]
+    assert pii.all_spans("9" * 5000 + ".2.3.4")[0] == []
+
+
+def test_a_million_blanks():
+    began = time.process_time()
+    pii.all_spans("one two" + " " * 1_000_000)
+    assert time.process_time() - began < 2
+
+
+def disguised(rng):
+    """An identifier in disguise within running text, and its place."""
+    kind = rng.choice(pii.KINDS)
+    if kind == "email":
+        name, host, end = rng.choice(["john.doe", "mary", "a.b.smith", "info7"]), rng.choice(["example", "mail-3", "firm"]), rng.choice(["com", "org", "nl", "museum", "it"])
+        style = rng.randrange(4)
+        if style == 0:
+            back = {v: k for k, v in pii.LOOKALIKES.items()}
+            plain = "".join(back.get(c, c) if rng.random() < 0.5 else c for c in f"{name}@{host}") + f".{end}"
+            written = plain if not plain.isascii() and not plain[0].isascii() else "\u0430" + plain
+        elif style == 1:
+            left, right = rng.choice(["[]", "()", "{}", "<>"])
+            written = f"{name} {left}at{right} {host} {left}dot{right} {end}"
+        elif style == 2:
+            written = f"{name} at {host} dot {end}"
+        else:
+            written = f"{name} AT {host} DOT {end}"
+    else:
+        digits = {"ip": f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}", "card": "4539578763621486", "phone": f"+{rng.randint(10**10, 10**11 - 1)}"}[kind]
+        words = {v: k for k, v in pii.DIGIT_WORDS.items() if k != "oh"}
+        style = rng.randrange(3)
+        if style == 0:  # wide digits
+            written = "".join(chr(ord(c) + 0xFEE0) if c.isdigit() and (rng.random() < 0.7 or k == 1) else c for k, c in enumerate(digits))
+        elif style == 1:  # spelled out
+            parts = {".": "dot", "+": "plus"}
+            written = " ".join(words.get(c) or parts[c] for c in digits)
+        else:  # invisible characters within
+            written = digits[:3] + "\u200b" + digits[3:6] + "\u00ad" + digits[6:]
+    before, after = rng.choice(["please write to ", "it is ", "see: ", "(new) "]), rng.choice(["", " for more.", ", thanks", "\nbye"])
+    return kind, before + written + after, (len(before), len(before) + len(written))
+
+
+def test_recall_of_generated_disguises():
+    """At least 0.9 of the disguises of each kind are found at their exact place."""
+    rng = random.Random(8)
+    found, asked = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
+    for _ in range(3000):
+        kind, text, place = disguised(rng)
+        base, every, wider = pii.three_kinds_of_spans(text)
+        asked[kind] += 1
+        found[kind] += (kind, *place) in every + wider
+    assert all(found[k] >= 0.9 * asked[k] for k in pii.KINDS), (found, asked)
+
+
+def test_no_identifier_in_ordinary_words():
+    rng = random.Random(9)
+    words = "one two at dot the of seven it is at home plus three more double room he was at work at nine on the dot".split()
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(3, 12)))
+        assert all(k in ("email", "phone") for k, _, _ in pii.all_spans(text)[1])
+        assert pii.all_spans(text.replace("dot", "spot").replace("plus", "and"))[1] == []

@@ -3,7 +3,9 @@
 A transducer rewrites disguises (look-alike letters, wide digits, invisible characters, spelled digits,
 "at" and "dot" in words or brackets) and keeps, for every character it puts out, the source span it
 came from. The same detectors run over the rewritten text; what they find is mapped back to source
-characters and added unless a base span of the same kind overlaps it. Base spans always stay.
+characters and added unless a base span of the same kind overlaps it. Base spans always stay. What
+overlaps one and reaches beyond it (the base pattern saw a part of a disguised identifier) is not counted
+twice: it goes into a column of its own, ``wider``, and ``redact`` covers it too.
 
 Defined cases: a null text is empty; empty texts give counts of 0 and empty strings; texts of any
 length are scanned whole in linear time; null doc_ids, repeated rows and further columns pass.
@@ -11,6 +13,7 @@ length are scanned whole in linear time; null doc_ids, repeated rows and further
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -48,14 +51,15 @@ DOT_ENDING = rf"(?:(?:com|org|net|edu|gov|info|io|de|fr|es|uk)\b|(?-i:(?=[a-z]+\
 STRANGE = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～٠-٩۰-۹०-९]")
 _WORD = "(?:(?:double|triple)[ -])?(?:" + "|".join(DIGIT_WORDS) + ")"
 RULES = re.compile(
-    rf"(?P<strange>{STRANGE.pattern})"
+    # nothing begins at a blank behind a blank: runs of white space are passed at one look each
+    rf"(?:(?=\S)|(?<!\s))(?:(?P<strange>{STRANGE.pattern})"
     r"|(?P<at>(?:(?<!\s)\s++)?[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\s+at\s+(?=[\w-]+\s*[\[({]\s*dot\s*[\])}]\s*\w)"
     rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+{ENDING})"
     rf"|(?<=\w)\s+at\s+(?=[\w-]+(?:\.[\w-]+)*\.{DOT_ENDING}))"
     r"|(?P<dot>(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=\w)\s+dot\s+(?=\w))"
     rf"|(?P<plus>\bplus[ -]+(?=[0-9]|{_WORD}\b))"
     rf"|(?P<digits>\b{_WORD}(?:[ -]+{_WORD})+\b|\b{_WORD}(?=[ ().-]{{1,2}}[0-9]| dot [0-9])"
-    rf"|(?:(?<=[0-9][ (-])|(?<=[0-9][ ().-][ (-])|(?<=[0-9]\.)|(?<=[0-9] dot )){_WORD}\b)",
+    rf"|(?:(?<=[0-9][ (-])|(?<=[0-9][ ().-][ (-])|(?<=[0-9]\.)|(?<=[0-9] dot )){_WORD}\b))",
     re.IGNORECASE,
 )
 #: What every alternative of RULES but that of strange characters holds in lower-case text: one cheap test for each.
@@ -84,7 +88,9 @@ def _emails(text: str) -> list[Span]:
 
 
 def _ips(text: str) -> list[Span]:
-    return [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    # leading zeros go first: a part may have any number of them
+    parts = lambda found: [p.lstrip("0") or "0" for p in found.split(".")]
+    return [m.span() for m in IP.finditer(text) if all(len(p) <= 3 and int(p) <= 255 for p in parts(m[0]))]
 
 
 def luhn(digits: str) -> bool:
@@ -168,27 +174,43 @@ def suspicious(text: str) -> bool:
     return RULES.search(text) is not None
 
 
-def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans, each as (kind, start, end) by start and then kind."""
+Found = list[tuple[str, int, int]]
+
+
+def three_kinds_of_spans(text: str) -> tuple[Found, Found, Found]:
+    """Base spans, all spans, and spans that are wider than a base span they overlap, each as (kind, start, end)
+    by start and then kind."""
     base = base_spans(text)
-    added = {k: [] for k in KINDS}
+    added: Found = []
+    wider: Found = []
     if suspicious(text):
         plain, low, high = transduce(text)
         for kind, found in base_spans(plain).items():
+            own = base[kind]  # ascending and apart from each other
+            ends = [b for _, b in own]
             for a, b in found:
-                span = int(low[a]), int(high[b - 1])
-                if not any(x <= span[0] and span[1] <= y for x, y in base[kind]):
-                    added[kind].append(span)
+                a, b = int(low[a]), int(high[b - 1])
+                k = bisect.bisect_right(ends, a)
+                if k == len(own) or own[k][0] >= b:
+                    added.append((kind, a, b))
+                elif a < own[k][0] or b > own[k][1]:
+                    wider.append((kind, a, b))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     first = sorted(((k, a, b) for k in KINDS for a, b in base[k]), key=order)
-    return first, sorted(first + [(k, a, b) for k in KINDS for a, b in added[k]], key=order)
+    return first, sorted(first + added, key=order), sorted(wider, key=order)
+
+
+def all_spans(text: str) -> tuple[Found, Found]:
+    """Base spans, and all spans."""
+    return three_kinds_of_spans(text)[:2]
 
 
 def redact(text: str | None) -> str:
-    """The text with every span replaced by its kind in brackets."""
+    """The text with every span replaced by its kind in brackets; spans that overlap become one."""
     text = text or ""
+    _, every, wider = three_kinds_of_spans(text)
     out, done = [], 0
-    for kind, a, b in all_spans(text)[1]:
+    for kind, a, b in sorted(every + wider, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
         if a >= done:
             out += [text[done:a], f"[{kind}]"]
         done = max(done, b)
@@ -200,21 +222,24 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, a count per kind, base_sha256, spans."""
+    """One row per document: doc_id, a count per kind, base_sha256, spans, n_spans, wider."""
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch):
-                counts, shas, spans = [[] for _ in KINDS], [], []
+                counts, shas, spans, more = [[] for _ in KINDS], [], [], []
                 for text in part.column("text").to_pylist():
-                    base, every = all_spans(text or "")
+                    base, every, wider = three_kinds_of_spans(text or "")
                     for k, kind in enumerate(KINDS):
                         counts[k].append(sum(s[0] == kind for s in every))
                     shas.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     spans.append(_joined(every))
+                    more.append(_joined(wider))
+                total = pa.array([sum(c) for c in zip(*counts)], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(spans, pa.string())],
-                    names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
+                    [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(spans, pa.string()), total, pa.array(more, pa.string())],
+                    names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans", "wider"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    columns = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, wider string"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, columns)
