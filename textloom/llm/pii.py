@@ -62,9 +62,22 @@ RULES = re.compile(
     rf"|(?:(?<=[0-9][ (-])|(?<=[0-9][ ().-][ (-])|(?<=[0-9]\.)|(?<=[0-9] dot )){_WORD}\b))",
     re.IGNORECASE,
 )
-#: What every alternative of RULES but that of strange characters holds in lower-case text: one cheap test for each.
-#: re.IGNORECASE lets U+0131, U+017F and U+212A stand for i, s and k; texts with those take RULES itself.
-HINT = re.compile(rf"[\s\[({{<]at[\s\])}}>]|dot|[\[({{<]\s*\.\s*[\])}}>]|plus[ -]|(?:{'|'.join(DIGIT_WORDS)})[ ().-]|[0-9][ ().-]{{1,2}}{_WORD}")
+_DIGITS = "|".join(DIGIT_WORDS)
+_TIMES = f"(?:(?:{'|'.join(TIMES)})[ -])?"
+#: What every alternative of RULES but that of strange characters holds in lower-case text. Each begins with
+#: plain letters or signs, which are looked for fast; only texts with one of these meet RULES itself.
+#: re.IGNORECASE lets U+0131, U+017F and U+212A stand for i, s and k; texts with those take RULES at once.
+HINTS = tuple(
+    re.compile(p)
+    for p in (
+        r"at(?<!\wat)(?:\s*[\])}>]|\s+(?=[\w-]+\s*[\[({]\s*dot|[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s|[\w-]+(?:\.[\w-]+)*\.[a-z]{2}))",
+        r"dot(?<!\wdot)(?:\s*[\])}>]|\s+\w)",
+        r"\.\s*[\])}>]",
+        rf"plus(?<!\wplus)[ -]+(?:[0-9]|{_TIMES}(?:{_DIGITS}))",
+        rf"[0-9](?:[ ().-]{{1,2}}| dot )(?:{_DIGITS}|{'|'.join(TIMES)})",
+        *[rf"{w}(?<!\w{w})(?=[ -]+{_TIMES}(?:{_DIGITS})\b|[ ().-]{{1,2}}[0-9]| dot [0-9])" for w in DIGIT_WORDS],
+    )
+)
 FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
 FOLDS = str.maketrans("\u0131\u017f", "is")
 
@@ -169,8 +182,10 @@ def suspicious(text: str) -> bool:
     """Whether the transducer could change the text; cheap for ordinary texts."""
     if not text.isascii() and STRANGE.search(text):
         return True
-    if HINT.search(text.lower()) is None and (text.isascii() or FOLDED.search(text) is None):
-        return False
+    if text.isascii() or FOLDED.search(text) is None:
+        low = text.lower()
+        if not any(hint.search(low) for hint in HINTS):
+            return False
     return RULES.search(text) is not None
 
 
