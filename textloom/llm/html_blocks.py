@@ -1,25 +1,32 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is parsed into its leaf blocks: runs of text between the edges of block-level elements. Features
-of a block are its ancestors' tags and class or id words, the innermost of them that says something,
-and the text's length, links and signs. Two labels, content and other, form a chain along the page;
-weights are trained by gradient ascent on the likelihood of labelled pages, and Viterbi decodes.
+of a block are
 
-The labelled pages are made by ``labelled_pages``: invented layouts with menus, headers, footers,
-sidebars, notices, adverts, forms, comments and articles, whose blocks' labels are known by
-construction. Training is seeded and takes a few seconds once per driver; a few hundred weights go out.
+* its path: the tags of its ancestors and the words of their class, id and role attributes, as they are;
+* its shape: length, links, sentences and signs, and the shapes of its neighbours;
+* its place: how much of the page's prose its container holds, and where it lies to the hub, the deepest
+  element that holds most of the prose.
+
+Two labels, content and other, form a chain along the page; weights are trained by gradient ascent on the
+likelihood of labelled pages, and Viterbi decodes. Which tags and words tell something is learned: the
+labelled pages (``layouts``) are invented ones, many of them without any class, with classes that mean
+nothing, or without an article element. Training is seeded and takes some seconds once per driver; a few
+thousand weights go out.
 
 Defined cases: a null page is empty; a page without text, or with none that is content, gives an empty
-string; unclosed, stray and nested elements close as browsers close them, roughly; scripts, styles,
-comments and unfinished markup give no text; repeated rows and further columns pass.
+string; unclosed, stray and nested elements close as browsers close them, roughly; tags end as the HTML
+standard has it (a quote counts only behind "="), but a quote that never closes ends with its tag; scripts,
+styles, comments and unfinished tags give no text; a frame, graphic or template without its closing tag
+swallows nothing; repeated rows and further columns pass.
 """
 
 from __future__ import annotations
 
 import functools
 import html
-import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,357 +34,379 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import slices
-
-# Quotes hold a value of any length, and only after "=": a stray quote doesn't reach into the page.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>|<[!?/][^>]*>|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
-MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-WORD = re.compile(r"[a-z]+")
+from textloom.llm.layouts import labelled_pages
+
+#: Text, and an ordinary tag behind it; what doesn't match is looked at sign by sign.
+ORDINARY = re.compile(r"([^<]*+)<(/?)([A-Za-z][A-Za-z0-9]*+)((?:[^>=\"']|=\"[^\"<>]*+\")*+)>")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+PLAIN_TAG = re.compile(r"[^>=]*>")
+STOP = re.compile(r"[>=]")
+VALUE = re.compile(r"\s*([\"']?)")
+BARE = re.compile(r"[^\s>]*")
+MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Words of a class: runs of letters, cut where a capital follows a small letter.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Element names of the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong strike sub sup time tt u var wbr big img".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var object".split())
+#: Elements whose inside is no markup or no text of the page, up to their closing tag.
+RAW = frozenset("script style textarea iframe noscript template svg math noembed noframes xmp".split())
+#: Those that swallow the rest of the page if they aren't closed, as browsers have it.
+OPEN_ENDED = frozenset("script style".split())
+CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 #: Elements that a start tag of the same kind, or of a block for p, closes.
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 SCOPES = frozenset("article aside body div footer form header main nav section table td th blockquote figure html".split())
-TELLING = frozenset("nav header footer aside form article main title head button figcaption dialog menu address".split())
-#: Families of class and id words; a word counts by its family, the families are the features.
-FAMILIES = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs tabs pagination pager toc",
-    "top": "header masthead banner topbar logo brand",
-    "bottom": "footer foot copyright colophon legal bottom",
-    "side": "sidebar side aside rail widget related recommended trending popular more",
-    "notice": "cookie cookies consent notice alert gdpr popup modal overlay toast",
-    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner",
-    "form": "form newsletter subscribe signup login search contact",
-    "talk": "comment comments reply replies discussion disqus respond thread reviews",
-    "share": "share sharing social tools tags byline meta",
-    "body": "article content post entry story main text body prose",
-}
-FAMILY = {w: f for f, words in FAMILIES.items() for w in words.split()}
-
 
-class Block:
-    __slots__ = ("path", "text", "links")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int) -> None:
-        self.path, self.text, self.links = path, text, links
+def tag_end(page: str, at: int, lost: set[str]) -> int:
+    """Where the tag whose name ends at `at` ends (behind its ">"), or -1. Quotes in `lost` have no partner ahead."""
+    if found := PLAIN_TAG.match(page, at):
+        return found.end()
+    while found := STOP.search(page, at):
+        at = found.end()
+        if found[0] == ">":
+            return at
+        value = VALUE.match(page, at)
+        at = value.end()
+        if quote := value[1]:
+            close = -1 if quote in lost else page.find(quote, at)
+            if close >= 0:
+                at = close + 1
+                continue
+            lost.add(quote)
+        at = BARE.match(page, at).end()
+    return -1
 
 
 @functools.lru_cache(maxsize=4096)
-def _element(tag: str, attributes: str) -> str:
-    """Tag and the families of its class, id and role words, as one path step."""
-    found = set()
-    for m in MARK.finditer(attributes):
-        found.update(FAMILY[w] for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()) if w in FAMILY)
-    return " ".join([tag, *sorted(found)])
+def _step(tag: str, attributes: str) -> str:
+    """Tag and the distinct words of its class, id and role, as one path step."""
+    words = {w.lower() for m in MARK.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "") if len(w) > 1}
+    return " ".join([tag, *sorted(words)])
+
+
+class Block:
+    """A leaf block: steps and numbers of the block-level elements around it, its text, how much of it is linked."""
+
+    __slots__ = ("path", "chain", "text", "links")
+
+    def __init__(self, path: tuple[str, ...], chain: tuple[int, ...], text: str, links: int) -> None:
+        self.path, self.chain, self.text, self.links = path, chain, text, links
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, without empty ones."""
+    """Leaf blocks in page order, without empty ones; one pass, whatever the markup."""
     out: list[Block] = []
     names: list[str] = []
-    steps: list[str] = []
+    steps: list[str | None] = []  # None for inline elements
+    numbers: list[int] = []
     parts: list[str] = []
-    links = 0
+    lost: set[str] = set()
+    unclosed: set[str] = set()
+    links, made, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = "".join(parts)
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(tuple(steps), text, links))
+                path, chain = tuple(steps), tuple(numbers)
+                if None in path:
+                    path, chain = tuple([s for s in path if s is not None]), tuple([n for n, s in zip(chain, path) if s is not None])
+                out.append(Block(path, chain, text, min(links, len(text))))
             parts.clear()
         links = 0
 
-    for m in TOKEN.finditer(page):
-        text = m[5]
-        if text is not None:
-            if "a" in names and not text.isspace():
-                links += len(text)
-            parts.append(text)
-            continue
-        if m[3] is None:
-            if m[1]:
-                flush() if m[1].lower() not in ("svg", "select", "object") else parts.append(" ")
+    def cut_to(k: int) -> None:
+        del names[k:], steps[k:], numbers[k:]
+
+    while at < len(page):
+        if found := ORDINARY.match(page, at):
+            text, closing, tag, attributes = found.groups()
+            end = found.end()
+            if text:
+                if "a" in names and not text.isspace():
+                    links += len(text)
+                parts.append(text)
+            tag = tag.lower()
+        else:
+            opened = page.find("<", at)
+            if opened < 0:
+                opened = len(page)
+            if opened > at:
+                text = page[at:opened]
+                if "a" in names and not text.isspace():
+                    links += len(text)
+                parts.append(text)
+                at = opened
+                continue
+            sign = page[at + 1 : at + 2]
+            closing = sign == "/"
+            name = NAME.match(page, at + 1 + closing)
+            if name is None:
+                if page.startswith("<!--", at):
+                    if page.startswith((">", "->"), at + 4):
+                        at = page.index(">", at) + 1
+                        continue
+                    end = page.find("-->", at + 4)
+                    at = len(page) if end < 0 else end + 3
+                elif sign and sign in "!?/":
+                    end = page.find(">", at)
+                    at = len(page) if end < 0 else end + 1
+                else:
+                    parts.append("<")
+                    at += 1
+                continue
+            tag = name[0].lower()
+            end = tag_end(page, name.end(), lost)
+            if end < 0:
+                break  # an unfinished tag
+            attributes = page[name.end() : end - 1]
+        at = end
+        if closing:
+            if tag in names:
+                inline = tag in INLINE
+                if not inline:
+                    flush()
+                k = len(names) - 1 - names[::-1].index(tag)
+                if not inline or not any(n in SCOPES for n in names[k:]):
+                    if any(n not in INLINE for n in names[k:]):
+                        flush()
+                    cut_to(k)
             continue
-        tag = m[3].lower()
         if tag in VOID:
             if tag == "hr":
                 flush()
             else:
                 parts.append(" ")
-        elif m[2]:
-            if tag in names:
-                if tag not in INLINE:
-                    flush()
-                at = len(names) - 1 - names[::-1].index(tag)
-                if tag not in INLINE or not any(n in SCOPES for n in names[at:]):
-                    if any(n not in INLINE for n in names[at:]):
-                        flush()
-                    del names[at:], steps[at:]
-        else:
-            if tag not in INLINE:
+            continue
+        if tag in RAW:
+            close = None if tag in unclosed else CLOSING[tag].search(page, at)
+            if close is not None:
+                end = page.find(">", close.end())
+                at = len(page) if end < 0 else end + 1
+            elif tag in OPEN_ENDED:
+                break
+            else:
+                unclosed.add(tag)
+            if tag in ("svg", "math"):
+                parts.append(" ")
+            else:
                 flush()
-                stop = CLOSES.get(tag)
-                for at in range(len(names) - 1, -1, -1):
-                    if stop is None and names[at] in SCOPES or stop and names[at] in stop:
-                        break
-                    if names[at] == (tag if stop else "p"):
-                        del names[at:], steps[at:]
-                        break
-                if tag in ("body", "frameset") and "head" in names:
-                    at = names.index("head")
-                    del names[at:], steps[at:]
-            if not m[4].rstrip().endswith("/"):
-                names.append(tag)
-                # long attributes are not worth keeping in the cache
-                steps.append((_element if len(m[4]) <= 4000 else _element.__wrapped__)(tag, m[4]))
+            continue
+        inline = tag in INLINE
+        if not inline:
+            flush()
+            stop = CLOSES.get(tag)
+            for k in range(len(names) - 1, -1, -1):
+                if stop is None and names[k] in SCOPES or stop and names[k] in stop:
+                    break
+                if names[k] == (tag if stop else "p"):
+                    cut_to(k)
+                    break
+            if tag in ("body", "frameset") and "head" in names:
+                cut_to(names.index("head"))
+        if not attributes.endswith("/"):
+            names.append(tag)
+            numbers.append(made)
+            made += 1
+            # long attributes are not worth keeping in the cache
+            steps.append(None if inline else tag if not attributes else (_step if len(attributes) <= 4000 else _step.__wrapped__)(tag, attributes))
     flush()
     return out
 
 
+#: Prose: a block of at least so many characters that ends a sentence and is hardly linked.
+PROSE_CHARS, PROSE_LINKS = 40, 0.3
+HUB_SHARE = 0.6
+FEW_WORDS = 8
+ENDS = frozenset(".!?…:;。！？")
+
+
 def path_features(path: tuple[str, ...]) -> list[str]:
     steps = [s.split(" ") for s in path]
-    out = {"bias"}
-    inner = "none"
-    for tag, *families in steps:
-        if tag not in INLINE:
-            out.add(f"tag {tag}")
-        out.update(f"family {f}" for f in families)
-        if tag in TELLING or families:
-            inner = families[0] if families else tag
-            if len(families) > 1 and "body" in families:
-                inner = next(f for f in families if f != "body")
-    leaf = next((s[0] for s in reversed(steps) if s[0] not in INLINE), "none")
-    return sorted(out | {f"inner {inner}", f"leaf {leaf}", f"leaf {leaf} in {inner}"})
-
-
-def text_features(block: Block) -> list[str]:
+    tags = [s[0] for s in steps]
+    out = {f"tag {t}" for t in tags} | {f"word {w}" for s in steps for w in s[1:]}
+    out.update(f"start {w[:4]}" for s in steps for w in s[1:] if len(w) > 4)
+    near = next((s for s in reversed(steps) if len(s) > 1), [])
+    out.update(f"near {w}" for w in near[1:])
+    leaf, above = (["none", "none", *tags])[:-3:-1]
+    return sorted(out | {f"leaf {leaf}", f"leaf {leaf} in {above}", f"deep {min(len(tags), 8)}", f"named {len(near) > 1}"})
+
+
+def own_shape(block: Block) -> tuple[int, ...]:
+    """Length, links, sentences, whether it ends one, begins with a capital, and speaks of rights."""
     text = block.text
     n = len(text)
     share = block.links / n
+    ends = text[-1] in ENDS
+    stops = text.count(". ") + text.count("! ") + text.count("? ")
+    rights = "©" in text[:80] or (n < 400 and "rights reserved" in text.lower())
+    return min(11, n.bit_length()), 0 if not block.links else 1 if share < PROSE_LINKS else 2 if share < 0.8 else 3, min(3, stops), int(ends), int(text[0].isupper()), int(rights)
+
+
+def shape_features(key: tuple) -> list[str]:
+    (length, links, stops, ends, upper, rights), before, after, place = key
+    size = lambda s: -1 if s is None else 0 if s[0] < 6 else 1 if s[0] < 8 else 2
+    linked = lambda s: -1 if s is None else s[1]
     return [
-        f"length {min(9, n.bit_length())}", f"links {0 if not block.links else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
-        f"end {text[-1] in '.!?'}", f"rights {'©' in text[:80] or 'rights reserved' in text[-200:].lower()}",
+        "bias", f"length {length}", f"links {links}", f"stops {stops}", f"ends {ends}", f"upper {upper}", f"rights {rights}", f"rights {rights} {size((length,))}", f"length {length} ends {ends}", f"length {length} links {links}",
+        f"before {size(before)} {linked(before)}", f"after {size(after)} {linked(after)}", f"between {size(before)} {size((length,))} {size(after)}", f"place {place}",
     ]
 
 
-SYLLABLES = "an be co do er fa gi ho in ka lo mu ne on pa re si ti um ver wa zo".split()
-
-
-def labelled_pages(n: int = 500, seed: int = 7) -> list[tuple[str, list[int]]]:
-    """Invented pages and the label of each of their leaf blocks, in order."""
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4)))
-
-    def words(low: int, high: int, end: str = "") -> str:
-        return " ".join(word() for _ in range(rng.randint(low, high))).capitalize() + end
-
-    pages = []
-    for _ in range(n):
-        out, labels = [], []
-
-        def add(markup: str, *own: int) -> None:
-            out.append(markup)
-            labels.extend(own)
-
-        def listed(count: int) -> str:
-            return "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(count)) + "</ul>"
-
-        def mark(family: str) -> str:
-            name = rng.choice(FAMILIES[family].split())
-            return rng.choice([f' class="{name}"', f' id="{name}"', f' class="{word()} {name}-{word()}"'])
-
-        def menu() -> None:
-            k = rng.randint(2, 8)
-            tag = rng.choice(["nav", "nav", "div" + mark("menu"), "ul" + mark("menu")])
-            name = tag.split(" ")[0]
-            add(f"<{tag}>{listed(k)}</{name}>", *[0] * k)
-
-        def plain(tag: str, family: str | None, low: int, high: int, count: int = 1) -> None:
-            own = tag + (mark(family) if family else "")
-            inside = rng.choice(["", "p", "p", "div"])
-            add(f"<{own}>")
-            for _ in range(count):
-                text = words(low, high, rng.choice([".", ".", "", "!"]))
-                if rng.random() < 0.2:
-                    text = f'<a href="#">{text}</a>'
-                add(f"<{inside or 'div'}>{text}</{inside or 'div'}>" if inside or count > 1 else text, 0)
-            add(f"</{tag}>")
-
-        def outside() -> None:
-            kind = rng.randrange(9)
-            if kind == 0:
-                menu()
-            elif kind == 1:
-                plain("aside", rng.choice([None, "side"]), 3, 40, rng.randint(1, 3))
-            elif kind == 2:
-                plain("div", "side", 3, 40, rng.randint(1, 3))
-            elif kind == 3:
-                plain(rng.choice(["div", "section"]), "notice", 5, 40)
-            elif kind == 4:
-                plain("div", "advert", 2, 30)
-            elif kind == 5:
-                add(f"<form{rng.choice(['', mark('form')])}><p>{words(2, 20)}</p><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button></form>", 0, 0, 0)
-            elif kind == 6:
-                plain("div", "share", 1, 10)
-            elif kind == 7:
-                plain("div", "form", 3, 20)
-            else:
-                plain(rng.choice(["section", "div"]), "talk", 3, 60, rng.randint(1, 4))
-
-        add(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(2, 8)}</title>', 0)
-        add("<style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body>")
-        if rng.random() < 0.4:
-            plain("header", rng.choice([None, "top"]), 1, 8, rng.randint(1, 2))
-        if rng.random() < 0.8:
-            menu()
-        for _ in range(rng.randint(0, 3)):
-            outside()
-        add("<!-- note -->")
-        tag = rng.choice(["article", "article", "article", "main", "div" + mark("body"), "section" + mark("body"), "main><article"])
-        add(f"<{tag}>")
-        if rng.random() < 0.15:
-            add(f"<header><h1>{words(2, 9)}</h1></header>", 1)
-        elif rng.random() < 0.9:
-            add(f"<h1>{words(1, 9)}</h1>", 1)
-        comments = rng.random() < 0.2
-        for k in range(rng.randint(1, 14)):
-            text = words(1, rng.choice([4, 20, 120]), rng.choice([".", ".", ".", "!", ""]))
-            kind = rng.random()
-            if kind < 0.1:
-                add(f"<p><b>{text}<br>", 1)
-            elif kind < 0.75:
-                add(f"<p>{text}</p>", 1)
-            elif kind < 0.8:
-                add(f'<p>{text} <a href="/{word()}">{words(1, 4)}</a> {word()}.</p>', 1)
-            elif kind < 0.84:
-                add(f"<h2>{words(1, 6)}</h2>", 1)
-            elif kind < 0.88:
-                items = rng.randint(2, 4)
-                add("<ul>" + "".join(f"<li>{words(1, 15)}" for _ in range(items)) + "</ul>", *[1] * items)
-            elif kind < 0.9:
-                add(f"<blockquote><p>{text}</p></blockquote>", 1)
-            elif kind < 0.92:
-                add(f"<pre>{text}</pre>", 1)
-            elif kind < 0.94:
-                add(f"<table><tr><td>{words(1, 4)}<td>{words(1, 4)}</table>", 1, 1)
-            elif kind < 0.96:
-                add(f"<div>{text}</div>", 1)
-            else:
-                outside()
-        if comments:
-            plain(rng.choice(["section", "div"]), "talk", 3, 60, rng.randint(1, 4))
-        for name in reversed([t.split(" ")[0] for t in tag.split("><")]):
-            add(f"</{name}>")
-        for _ in range(rng.randint(0, 2)):
-            outside()
-        if rng.random() < 0.9:
-            plain("footer", rng.choice([None, "bottom"]), 2, 20, rng.randint(1, 2))
-        pages.append(("".join(out) + "</body></html>", labels))
-    return pages
+def bucket(share: float) -> int:
+    return 0 if share <= 0 else 1 if share < 0.1 else 2 if share < 0.3 else 3 if share < HUB_SHARE else 4
+
+
+def place_features(key: tuple) -> list[str]:
+    prose, linked, count, hub, side, below, leaf, alone = key
+    return [f"alone {alone}", f"holds {prose}", f"holds {prose} linked {linked}", f"linked {linked}", f"count {count}", f"hub {hub} {side}", f"hub {hub} {side} leaf {leaf}", f"hub {hub} below {below}", f"hub {hub} below {below} leaf {leaf}"]
+
+
+def word_features(text: str) -> list[str]:
+    """Words of short blocks."""
+    words = text.lower().split(None, FEW_WORDS)
+    return [f"says {w.strip('.,:;!?()')}" for w in words] if len(words) <= FEW_WORDS else []
+
+
+def keys(page: list[Block]) -> list[tuple[tuple, tuple, tuple]]:
+    """For each block what its path, shape and place features follow from."""
+    shapes = [own_shape(b) for b in page]
+    prose = [len(b.text) if len(b.text) >= PROSE_CHARS and s[3] and b.links < PROSE_LINKS * len(b.text) else 0 for b, s in zip(page, shapes)]
+    if not any(prose):  # no sentences at all: any text that is not linked
+        prose = [len(b.text) if not b.links else 0 for b in page]
+    total = max(1, sum(prose))
+    held: dict[int, list[int]] = {}
+    for b, p in zip(page, prose):
+        for number in b.chain[:-1] or b.chain:
+            sums = held.setdefault(number, [0, 0, 0, 0])
+            sums[0] += p
+            sums[1] += len(b.text)
+            sums[2] += b.links
+            sums[3] += 1
+    hub, first, last = -1, 0, len(page) - 1
+    for number, sums in held.items():  # numbers rise with depth along a chain
+        if sums[0] >= HUB_SHARE * total and number > hub:
+            hub = number
+    inside = [k for k, b in enumerate(page) if prose[k] and hub in b.chain]
+    if inside:
+        first, last = inside[0], inside[-1]
+    alone = not any(b.links or len(b.path) > 1 for b in page)  # a fragment, of text alone
+    out, n = [], len(page)
+    for k, b in enumerate(page):
+        place = (k if k < 2 else 2 if k * 4 < n else 3 if k * 4 < 3 * n else 4 if k < n - 2 else 5 + k - (n - 2))
+        shape = shapes[k], shapes[k - 1][:2] if k else None, shapes[k + 1][:2] if k + 1 < n else None, place
+        sums = held[b.chain[-2] if len(b.chain) > 1 else b.chain[0]] if b.chain else [0, 1, 0, 1]
+        side = "lead" if k < first else "tail" if k > last else "mid"
+        below, near = "", 0
+        if hub in b.chain:
+            near, rest = 1, b.path[b.chain.index(hub) + 1 :]
+            below = rest[0].split(" ", 1)[0] if len(rest) > 1 else ""
+        leaf = b.path[-1].split(" ", 1)[0] if b.path else "none"
+        out.append((b.path, shape, (bucket(sums[0] / total), bucket(sums[2] / max(1, sums[1])), min(3, sums[3].bit_length()), near, side, below, leaf, alone)))
+    return out
+
+
+PARTS = (path_features, shape_features, place_features)
+
+
+def features(page: list[Block]) -> list[list[str]]:
+    """All features of each block."""
+    return [[f for of, key in zip(PARTS, own) for f in of(key)] + word_features(b.text) for b, own in zip(page, keys(page))]
 
 
 class Field:
-    """Weights of the chain: features by label, label by next label, first label."""
+    """Weights of the chain: features for content against other, label by next label, first label."""
 
-    def __init__(self, weights: dict[str, tuple[float, float]], moves: np.ndarray, first: np.ndarray) -> None:
+    def __init__(self, weights: dict[str, float], moves: np.ndarray, first: np.ndarray) -> None:
         self.weights, self.moves, self.first = weights, moves.tolist(), first.tolist()
-        self.paths: dict[tuple[str, ...], tuple[float, float]] = {}
+        self.known: tuple[dict, dict, dict] = ({}, {}, {})
 
-    def _sum(self, features: list[str]) -> tuple[float, float]:
-        own = [self.weights[f] for f in features if f in self.weights]
-        return sum(w[0] for w in own), sum(w[1] for w in own)
+    def _of(self, which: int, key: tuple) -> float:
+        """Summed weights of what follows from a key; keys repeat from page to page."""
+        known = self.known[which]
+        if (own := known.get(key)) is None:
+            if len(known) > 50_000:
+                known.clear()
+            own = known[key] = sum(self.weights.get(f, 0.0) for f in PARTS[which](key))
+        return own
 
     def decode(self, page: list[Block]) -> list[int]:
         """Viterbi labels of a page's blocks."""
-        back, best = [], None
-        for block in page:
-            if (own := self.paths.get(block.path)) is None:
-                if len(self.paths) > 50_000:
-                    self.paths.clear()
-                own = self.paths[block.path] = self._sum(path_features(block.path))
-            more = self._sum(text_features(block))
-            score = own[0] + more[0], own[1] + more[1]
+        back, best, weights = [], None, self.weights
+        (stay0, rise), (fall, stay1) = self.moves
+        for block, (path, shape, place) in zip(page, keys(page)):
+            score = self._of(0, path) + self._of(1, shape) + self._of(2, place)
+            for f in word_features(block.text):
+                score += weights.get(f, 0.0)
             if best is None:
-                best = self.first[0] + score[0], self.first[1] + score[1]
+                best = self.first[0], self.first[1] + score
                 continue
-            steps, now = [], []
-            for label in (0, 1):
-                stay, come = best[0] + self.moves[0][label], best[1] + self.moves[1][label]
-                steps.append(int(come > stay))
-                now.append(max(stay, come) + score[label])
-            back.append(steps)
-            best = now
+            zero, one = best
+            back.append((one + fall > zero + stay0, one + stay1 > zero + rise))
+            best = max(zero + stay0, one + fall), max(zero + rise, one + stay1) + score
         if best is None:
             return []
         labels = [int(best[1] > best[0])]
         for steps in reversed(back):
-            labels.append(steps[labels[-1]])
+            labels.append(int(steps[labels[-1]]))
         return labels[::-1]
 
 
+#: A feature counts if it is on so many of the labelled pages: names that mean nothing are on few.
+LEAST_PAGES = 5
+
+
 def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """Maximum likelihood with a ridge, by Adam; forward and backward sums run over all pages at once."""
-    names: dict[str, int] = {}
-    rows, columns, at = [], [], 0
-    longest = max(len(b) for b, _ in pages)
+    every = [features(page) for page, _ in pages]
+    seen = Counter(f for page in every for f in {f for own in page for f in own})
+    names = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST_PAGES))}
+    longest, size = max(len(b) for b, _ in pages), len(names)
     gold = np.full((len(pages), longest), -1)
-    for p, (page, labels) in enumerate(pages):
+    rows, columns = [], []
+    for p, (_, labels) in enumerate(pages):
         gold[p, : len(labels)] = labels
-        for k, block in enumerate(page):
-            for f in path_features(block.path) + text_features(block):
-                rows.append(p * longest + k)
-                columns.append(names.setdefault(f, len(names)))
+        for k, own in enumerate(every[p]):
+            found = [names[f] for f in own if f in names]
+            columns += found
+            rows += [p * longest + k] * len(found)
     rows, columns = np.array(rows), np.array(columns)
-    real = gold >= 0
-    size = len(names)
-    theta = np.zeros(2 * size + 6)
+    real, both = gold >= 0, gold[:, 1:] >= 0
+    theta = np.zeros(size + 6)
     slow, fast = np.zeros_like(theta), np.zeros_like(theta)
-    target = np.zeros_like(theta)
-    one_hot = np.zeros((gold.size, 2))
-    one_hot[np.flatnonzero(real.ravel()), gold.ravel()[real.ravel()]] = 1
-
-    def gathered(unary: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(columns, weights=unary[rows, c], minlength=size) for c in (0, 1)], axis=1).ravel()
-
-    target[: 2 * size] = gathered(one_hot)
-    both = real[:, 1:]
-    for a in (0, 1):
-        for b in (0, 1):
-            target[2 * size + 2 * a + b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum()
-        target[2 * size + 4 + a] = (gold[:, 0] == a).sum()
+
+    def gathered(content: np.ndarray, pairs: dict[tuple[int, int], np.ndarray], first: np.ndarray) -> np.ndarray:
+        moves = [(pairs[a, b] * both).sum() for a in (0, 1) for b in (0, 1)]
+        return np.concatenate([np.bincount(columns, weights=content.ravel()[rows], minlength=size), moves, first])
+
+    pairs = {(a, b): (gold[:, :-1] == a) & (gold[:, 1:] == b) for a in (0, 1) for b in (0, 1)}
+    target = gathered((gold == 1).astype(float), pairs, np.array([(gold[:, 0] == a).sum() for a in (0, 1)]))
     for step in range(1, rounds + 1):
-        weights, moves, first = theta[: 2 * size].reshape(size, 2), theta[2 * size : 2 * size + 4].reshape(2, 2), theta[2 * size + 4 :]
-        score = np.stack([np.bincount(rows, weights=weights[columns, c], minlength=gold.size) for c in (0, 1)], axis=1).reshape(*gold.shape, 2)
-        forth = np.zeros_like(score)
-        behind = np.zeros_like(score)
+        moves, first = theta[size : size + 4].reshape(2, 2), theta[size + 4 :]
+        content = np.bincount(rows, weights=theta[columns], minlength=gold.size).reshape(gold.shape)
+        score = np.stack([np.zeros_like(content), content], axis=2)
+        forth, behind = np.zeros_like(score), np.zeros_like(score)
         forth[:, 0] = first + score[:, 0]
         for k in range(1, longest):
             now = np.logaddexp(forth[:, k - 1, :1] + moves[0], forth[:, k - 1, 1:] + moves[1]) + score[:, k]
             forth[:, k] = np.where(real[:, k, None], now, forth[:, k - 1])
         for k in range(longest - 2, -1, -1):
             ahead = score[:, k + 1] + behind[:, k + 1]
-            now = np.stack([np.logaddexp(moves[a, 0] + ahead[:, 0], moves[a, 1] + ahead[:, 1]) for a in (0, 1)], axis=1)
+            now = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
             behind[:, k] = np.where(real[:, k + 1, None], now, 0)
-        total = np.logaddexp(forth[:, -1, 0], forth[:, -1, 1])
-        chance = np.exp(forth + behind - total[:, None, None]) * real[..., None]
-        expected = np.zeros_like(theta)
-        expected[: 2 * size] = gathered(chance.reshape(-1, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                pair = np.exp(forth[:, :-1, a] + moves[a, b] + score[:, 1:, b] + behind[:, 1:, b] - total[:, None])
-                expected[2 * size + 2 * a + b] = (pair * both).sum()
-            expected[2 * size + 4 + a] = chance[:, 0, a].sum()
-        slope = (target - expected) / len(pages) - ridge * theta
+        total = np.logaddexp(forth[:, -1, 0], forth[:, -1, 1])[:, None]
+        chance = np.exp(forth[:, :, 1] + behind[:, :, 1] - total) * real
+        pairs = {(a, b): np.exp(forth[:, :-1, a] + moves[a, b] + score[:, 1:, b] + behind[:, 1:, b] - total) * both for a in (0, 1) for b in (0, 1)}
+        one = chance[:, 0].sum()
+        slope = (target - gathered(chance, pairs, np.array([real[:, 0].sum() - one, one]))) / len(pages) - ridge * theta
         slow = 0.9 * slow + 0.1 * slope
         fast = 0.99 * fast + 0.01 * slope**2
         theta = theta + rate * (slow / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.99**step)) + 1e-8)
-    weights = theta[: 2 * size].reshape(size, 2)
-    return Field({f: (float(weights[k, 0]), float(weights[k, 1])) for f, k in names.items()}, theta[2 * size : 2 * size + 4].reshape(2, 2), theta[2 * size + 4 :])
+    return Field({f: float(theta[k]) for f, k in names.items()}, theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
 @functools.lru_cache(maxsize=1)
