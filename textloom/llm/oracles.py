@@ -20,17 +20,21 @@ r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM
 SELECT d AS doc_id, coalesce(min(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY 1
 """
 
+#: Units of a line (words from 8 on, else characters), and whether it is long enough to have near lines.
+UNITS = "CASE WHEN len(w) >= 8 THEN w ELSE list_transform(range(1, length(array_to_string(w, ' ')) + 1), lambda i: array_to_string(w, ' ')[i]) END"
+
 LINES = f"""
 WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
 b AS (SELECT doc_id, unnest(own) AS t, unnest(range(len(own))) AS line FROM a),
-c AS (SELECT doc_id, line, w, len(w) AS n FROM (SELECT doc_id, line, {_words("t")} AS w FROM b) WHERE len(w) >= 4),
-f AS (SELECT w, min({{'d': doc_id, 'l': line}}) AS first, min(n) AS n FROM c GROUP BY 1),
-v AS (SELECT w, first, unnest(range(1, n + 1)) AS i, n FROM f WHERE n >= 8),
-k AS (SELECT w, first, list_concat(list_concat(w[1:i - 1], [chr(1)]), w[i + 1:n]) AS placed, list_concat(w[1:i - 1], w[i + 1:n]) AS less FROM v),
-m AS (SELECT placed, min(first) AS least FROM k GROUP BY 1 HAVING count(*) > 1),
-g AS (SELECT k.w, m.least AS other FROM k JOIN m ON k.placed = m.placed WHERE m.least < k.first
-      UNION ALL SELECT k.w, f.first FROM k JOIN f ON f.w = k.less WHERE f.n >= 8 AND f.first < k.first
-      UNION ALL SELECT f.w, k.first FROM k JOIN f ON f.w = k.less WHERE f.n >= 8 AND k.first < f.first),
+c AS (SELECT doc_id, line, w FROM (SELECT doc_id, line, {_words("t")} AS w FROM b) WHERE len(w) > 0),
+f AS (SELECT w, min({{'d': doc_id, 'l': line}}) AS first, len(w) >= 8 AS by_word, {UNITS} AS u FROM c GROUP BY w),
+o AS (SELECT w, first, by_word, u, len(u) AS n FROM f WHERE by_word OR len(u) >= 20),
+v AS (SELECT w, first, by_word, u, n, unnest(range(1, n + 1)) AS i FROM o),
+k AS (SELECT w, first, by_word, list_concat(list_concat(u[1:i - 1], [chr(1)]), u[i + 1:n]) AS placed, list_concat(u[1:i - 1], u[i + 1:n]) AS less FROM v),
+m AS (SELECT placed, by_word, min(first) AS least FROM k GROUP BY 1, 2 HAVING count(*) > 1),
+g AS (SELECT k.w, m.least AS other FROM k JOIN m ON k.placed = m.placed AND k.by_word = m.by_word WHERE m.least < k.first
+      UNION ALL SELECT k.w, o.first FROM k JOIN o ON o.u = k.less AND o.by_word = k.by_word WHERE o.first < k.first
+      UNION ALL SELECT o.w, k.first FROM k JOIN o ON o.u = k.less AND o.by_word = k.by_word WHERE k.first < o.first),
 near AS (SELECT w, min(other) AS other FROM g GROUP BY 1),
 gone AS (SELECT c.doc_id, c.line, coalesce(near.other.d, f.first.d) AS earlier FROM c JOIN f ON c.w = f.w LEFT JOIN near ON near.w = c.w
          WHERE near.w IS NOT NULL OR f.first <> {{'d': c.doc_id, 'l': c.line}}),
