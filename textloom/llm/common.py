@@ -31,12 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder does for a
+    local master, whose executors are the driver; on a cluster it is an error, as they don't share one."""
     bound_batches(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -48,10 +49,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    kept_until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
