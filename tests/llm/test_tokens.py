@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from textloom.llm import packing, token_files
 from textloom.llm.encoder import Encoder, encoder
@@ -14,8 +15,11 @@ from textloom.llm.common import tokenizer_path
 from .conftest import ODD
 
 
+LIBRARY = Tokenizer.from_file(tokenizer_path())
+
+
 def plain(text):
-    return encoder().library.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -26,7 +30,7 @@ def test_encoder_equals_the_library():
     rng = random.Random(5)
     signs = "ab é'.,!\n\t  s:;$_^`~{}|  中1٣²ʰ́\0<|"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    texts += ["it's o'k 'tis", "<|endoftext|> hi", " lead", "trail ", "a  b", "", *[t or "" for _, t in ODD]]
+    texts += ["it's o'k 'tis", "<|endoftext|> hi", "a<|endoftext|>b <|endoftext|>", "<|endoftext |>", "x <|endoftext|><|endoftext|>", " lead", "trail ", "a  b", "", *[t or "" for _, t in ODD]]
     small = Encoder(tokenizer_path(), cached=50)
     for one in (encoder(), small):
         for _ in range(2):
@@ -59,6 +63,25 @@ def test_token_files_round_trip(spark, small):
         at += len(ids)
 
 
+def test_special_strings_have_their_own_id():
+    assert plain("<|endoftext|>") == encoder().encode(["<|endoftext|>"])[0].tolist() and len(plain("<|endoftext|>")) == 1
+
+
+def test_files_at_a_given_place(spark, small, tmp_path):
+    docs, texts = small
+    files = token_files.write_files(docs, file_ids=5000, to=str(tmp_path / "table"))
+    names = {r["name"]: r["bytes"] for r in token_files.export(files, str(tmp_path / "files")).collect()}
+    token_files.export(files, str(tmp_path / "files"))
+    assert sorted(names) == sorted(x.name for x in (tmp_path / "files").iterdir()) and len(names) > 3
+    found = []
+    for name in sorted(names):
+        data = (tmp_path / "files" / name).read_bytes()
+        assert len(data) == names[name]
+        file = token_files.TokenFile(data)
+        found += [(d, file.ids(k).tolist()) for k, d in enumerate(file.doc_ids())]
+    assert found == [(d, [*plain(t), 0]) for d, t in texts]
+
+
 def test_token_files_odd(odd, none):
     rows = token_files.read_files(token_files.write_files(odd)).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [-3, 1, 2, 3, 4, 4, 5, 6, 7, None]
@@ -152,6 +175,16 @@ def test_packing_odd(odd, none):
 
 
 def test_ranks_split_a_hot_length(spark):
-    rows = spark.createDataFrame([(k, 0, 0, 3, k % 5) for k in range(500)] + [(7, 1, 0, 4, 1)], packing.PIECES)
-    found = packing.ranked(rows, {3: 500, 4: 1}, ranked_rows=20).collect()
-    assert sorted(r["rank"] for r in found if r["length"] == 3) == list(range(500))
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, 0, 3, 0)] * 500 + [(7, 1, 0, 4, 1)], packing.PIECES).withColumn("mark", F.monotonically_increasing_id())
+    dealt = packing.ranked(rows, {3: 500, 4: 1}, "mark", ranked_rows=20)
+    assert sorted(r["rank"] for r in dealt.collect() if r["length"] == 3) == list(range(500))
+
+
+def test_full_pieces_stand_alone(spark):
+    docs = spark.createDataFrame([(1, "word " * 5000), (2, "a b c")], "doc_id long, text string")
+    rows = packing.pack(docs, capacity=16).collect()
+    full = [r for r in rows if r["length"] == 16]
+    assert len({r["sequence_id"] for r in full}) == len(full) > 300 and {r["offset"] for r in full} == {0}
+    assert not {r["sequence_id"] for r in full} & {r["sequence_id"] for r in rows if r["length"] < 16}

@@ -4,8 +4,9 @@ The pre-tokenizer of a byte-level BPE never joins characters across a single spa
 two non-space characters (the space opens a new piece), nor across a letter and a sign after it, the
 apostrophe excepted. A text can therefore be cut at both, each piece encoded alone by the library, and
 the ids concatenated. Pieces repeat: Arrow numbers the distinct ones of a batch, and a bounded cache per
-worker keeps the ids of those seen lately. A text in which a cut would touch further white space is
-given to the library whole. tests/llm compare both ways.
+worker keeps the ids of those seen lately. A text in which a cut would touch further white space, or that
+holds the string of a special token (which the library gives that token's id), is given to the library
+whole. tests/llm compare both ways.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library looks for in a text before it cuts it.
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces = Generations(cached)
         self.opens = np.array([(self.library.id_to_token(k) or "").startswith("Ġ") for k in range(self.library.get_vocab_size())])
 
@@ -146,9 +148,11 @@ class Encoder:
         ids = np.frombuffer(b"".join(values), dtype="<u4")[at]
         bounds = np.concatenate([[0], ends])[places - places[0]]
         whole = set(np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)).tolist())
+        for token in self.special:
+            whole.update(np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist())
         if odd:
             whole.update((np.searchsorted(places - places[0], np.flatnonzero(np.isin(index, odd)), "right") - 1).tolist())
-        if whole:  # runs of white space: those texts go to the library as they are
+        if whole:  # runs of white space, special tokens: those texts go to the library as they are
             order = sorted(whole)
             again = dict(zip(order, self._ids([texts[k].as_py() for k in order])))
             parts = [np.frombuffer(again[k], dtype="<u4") if k in again else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]

@@ -3,13 +3,15 @@
 Documents are encoded and cut into pieces of at most ``capacity`` tokens. Only the histogram of piece
 lengths (at most ``capacity`` counts) reaches the driver, which packs counts, not pieces: lengths go in
 falling order, each into the fullest kind of sequence that still holds it. Every placement covers an
-interval of ranks within its length; pieces then take their slots by joining on (length, rank).
+interval of ranks within its length; pieces then take their slots by joining on (length, rank). Pieces of
+full length need no rank: each is a sequence of its own (those have negative numbers).
 
 The plan's size depends on the capacity alone: each length touches the kinds of sequence that exist,
 splits at most one of them and opens at most two, so there are fewer than capacity squared intervals.
 
 Defined cases: a null text is empty and gives the end token alone; an empty table gives no rows;
-repeated rows are packed as often as they occur (ties are broken by doc_id, piece and crc).
+repeated rows are packed as often as they occur. Pieces of one length are ranked by their places in the
+table of pieces, so equal rows are as easy to deal out as any others.
 """
 
 from __future__ import annotations
@@ -106,14 +108,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return sorted(out), used
 
 
-def ranked(rows: DataFrame, histogram: dict[int, int], ranked_rows: int = RANKED_ROWS) -> DataFrame:
-    """Add rank, gapless from 0 within each length, without one task holding a whole length."""
+def ranked(rows: DataFrame, histogram: dict[int, int], mark: str, ranked_rows: int = RANKED_ROWS) -> DataFrame:
+    """Add rank, gapless from 0 within each length, without one task holding a whole length; mark is unique."""
     spark = rows.sparkSession
     groups = spark.createDataFrame([(k, max(1, -(-n // ranked_rows))) for k, n in histogram.items()] or [(0, 1)], "length long, _groups long")
     # at most `capacity` rows: the broadcast has a fixed bound
-    dealt = rows.join(F.broadcast(groups), "length").withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_groups"))).drop("_groups")
+    dealt = rows.join(F.broadcast(groups), "length").withColumn("_group", F.pmod(F.xxhash64(mark), F.col("_groups"))).drop("_groups")
     key = ["length", "_group"]
-    within = Window.partitionBy(*key).orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy(*key).orderBy(mark)
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return dealt.withColumn("_at", F.row_number().over(within)).join(bases, key).withColumn("rank", F.col("_base") + F.col("_at") - 1).drop("_group", "_at", "_base")
@@ -121,7 +123,10 @@ def ranked(rows: DataFrame, histogram: dict[int, int], ranked_rows: int = RANKED
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    rows = cut(pieces(docs, capacity, end_id, path), "pieces")
+    every = cut(pieces(docs, capacity, end_id, path).withColumn("mark", F.monotonically_increasing_id()), "pieces")
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = every.where(F.col("length") == capacity).select(*own, (-F.col("mark") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = every.where(F.col("length") < capacity)
     histogram = {int(r["length"]): int(r["count"]) for r in rows.groupBy("length").count().collect()}
     intervals, _ = plan(histogram, capacity)
     lengths, firsts, eachs, seqs, offsets = (np.array(c, dtype=np.int64) for c in (zip(*intervals) if intervals else [()] * 5))
@@ -133,11 +138,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
             at = np.zeros(len(n), dtype=np.int64)
             for length in np.unique(n):
                 a, b = spans[int(length)]
-                own = n == length
-                at[own] = a + np.searchsorted(firsts[a:b], r[own], "right") - 1
+                same = n == length
+                at[same] = a + np.searchsorted(firsts[a:b], r[same], "right") - 1
             inside = r - firsts[at]
             found = [seqs[at] + inside // eachs[at], offsets[at] + inside % eachs[at] * n] if len(n) else [n, n]
-            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, found)], names=[*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *map(pa.array, found)], names=[*own, "sequence_id", "offset"])
 
-    return ranked(rows, histogram).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(slots, PIECES + ", sequence_id long, offset long")
+    placed = ranked(rows, histogram, "mark").select(*own, "rank").mapInArrow(slots, PIECES + ", sequence_id long, offset long")
+    return full.unionByName(placed)

@@ -5,8 +5,9 @@ then the ids in 2 bytes each where the vocabulary allows, else 4. A monotone lis
 takes about 2 + log2(u/n) bits per number: the low bits are packed, the high bits are a unary bit
 vector, and a sample of every SAMPLE-th one-bit's position answers select without a table of offsets.
 
-Files are kept as rows of a Parquet table in the shared folder, in ascending doc_id order, so that any
-store Spark writes to will do.
+Files go out as rows of a Parquet table, in ascending doc_id order: any store Spark writes to will do.
+``write_files`` puts the table where it is told, or into the shared folder until the driver ends; ``export``
+writes each file under a name of its own into a folder that all executors see.
 
 Defined cases: a null text is empty and gives the end id alone; null doc_ids come last; equal doc_ids
 keep every row, ordered by a hash of the text; an empty table gives no files.
@@ -14,7 +15,9 @@ keep every row, ordered by a hash of the text; an empty table gives no files.
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +120,9 @@ class TokenFile:
         return self.data[self.ends.select(k - 1) if k else 0 : self.ends.select(k)]
 
 
-def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
-    """Encode every whole text and write files in ascending doc_id order; returns the table of files."""
+def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None, file_ids: int = FILE_IDS, to: str | None = None) -> DataFrame:
+    """Encode every whole text and write files in ascending doc_id order, as a Parquet table at `to` if given;
+    path is the vocabulary's. Returns the table of files."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
@@ -148,7 +152,38 @@ def write_files(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
             if keys:
                 yield flush()
 
-    return cut(dealt.mapInArrow(encode, FILES), "token-files")
+    files = dealt.mapInArrow(encode, FILES)
+    if to is None:
+        return cut(files, "token-files")
+    files.write.parquet(to)
+    return spark.read.schema(FILES).parquet(to)
+
+
+def file_name(part: int, seq: int) -> str:
+    """Names sort as the files do."""
+    return f"tokens-{part:06d}-{seq:06d}.tlef"
+
+
+def export(files: DataFrame, folder: str) -> DataFrame:
+    """Write each file under its own name into a folder that all executors see; name and bytes of each.
+
+    A file is written beside its name and then renamed, so a task that runs again, or twice, does no harm.
+    """
+
+    def put(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            names, sizes = [], []
+            for part, seq, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file"))):
+                names.append(file_name(part, seq))
+                sizes.append(len(data))
+                fresh = os.path.join(folder, f".{names[-1]}.{uuid.uuid4().hex}")
+                with open(fresh, "wb") as out:
+                    out.write(data)
+                os.replace(fresh, os.path.join(folder, names[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return cut(files.select("part", "seq", "file").mapInArrow(put, "name string, bytes long"), "exported")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -158,10 +193,10 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, data in zip(*(batch.column(c) for c in ("part", "seq", "file"))):
                 file = TokenFile(data.as_py())
-                ends = file.ends.all()
+                n = file.n_docs
+                ends = np.fromiter(map(file.ends.select, range(n)), dtype=np.int64, count=n)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 crcs = [crc_u32(file.data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                n = file.n_docs
                 columns = [pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), pa.array(file.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
