@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from textloom.llm import components, jaccard
+from textloom.llm.common import join_by_weight
 from textloom.llm.words import shingle_sets
 
 from .conftest import ODD, documents
@@ -72,7 +73,26 @@ def test_odd(odd, none):
     assert found[None][1] is None and found[4][1] == 4 and found[1] == (0, 1)
     assert jaccard.join(none).count() == 0
     kept = jaccard.keep_one(odd)
-    assert kept.columns == odd.columns and kept.count() == len(ODD) and jaccard.keep_one(none).count() == 0
+    # the row that is there twice stays once, the rows without words all stay
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 1 and jaccard.keep_one(none).count() == 0
+
+
+def test_one_row_of_a_component_stays(spark):
+    text = "a text of some length that is there again and again without end"
+    rows = [(4, text), (4, text), (4, text + " now"), (None, text), (None, text), (9, text), (1, ""), (1, ""), (None, None), (5, "all else"), (5, "quite other words")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(documents(spark, rows)).collect()), key=str)
+    assert kept in [sorted([(4, t), (1, ""), (1, ""), (None, None), (5, "all else"), (5, "quite other words")], key=str) for t in (text, text + " now")]
+    nameless = [(None, text)] * 3 + [(None, text + " now")]
+    assert jaccard.keep_one(documents(spark, nameless)).count() == 1
+    found = jaccard.join(documents(spark, rows)).collect()
+    assert len(found) == len(rows) and sum(r["component_id"] == 4 for r in found) == 6
+
+
+def test_hot_keys_are_broadcast(spark):
+    left = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, k) for k in range(2, 500)], "key long, v long")
+    right = spark.createDataFrame([(1, "hot", 3000)] + [(k, str(k), 1) for k in range(2, 300)], "key long, name string, n long")
+    found = join_by_weight(left, right, ["key"], "n", 3498)
+    assert found.count() == 3000 + 298 and {r["name"] for r in found.where("key = 1").collect()} == {"hot"}
 
 
 def test_a_cluster_in_blocks(spark, monkeypatch):

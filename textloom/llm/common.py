@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that a worker takes at a time. Array code needs some thirty times this while it works.
 BATCH_BYTES = 2 << 20
@@ -79,6 +80,20 @@ def partitions_for(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> i
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
 
 
+#: A key with over this share of all rows is hot: there are fewer such keys than one over the share.
+HOT_SHARE = 0.001
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of left with right, which has one row per key and in `weight` how many rows of left have it;
+    total is at least the sum of weights. The hot keys, at most a thousand, are broadcast, so their rows stay where
+    they are; only the others are dealt by key. Both sides are read more than once: give written tables."""
+    hot = F.col(weight) > HOT_SHARE * total
+    few = F.broadcast(right.where(hot).drop(weight))
+    rest = left.join(few.select(*keys), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(right.where(~hot).drop(weight), keys))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES):
     """Cut an Arrow batch into row ranges of about `limit` bytes, so that long texts don't pile up."""
     n = batch.num_rows

@@ -15,8 +15,10 @@
 Copies are never expanded: all of a text's copies are one class.
 
 Defined cases: null or wordless texts have n_shingles 0 and are alone; equal rows are equal classes;
-a null doc_id takes part, and is the component_id only where no other is in the component; an empty
-table gives no rows. Texts of any length are taken whole. Classes are 64-bit hashes of sets.
+a null doc_id takes part, and is the component_id only where no other is in the component; rows are told
+apart by a hash of doc_id and text, so rows with one doc_id may have different sets, and ``keep_one`` keeps
+one row of a component even if several have its smallest doc_id or none has one (all rows without words
+stay); an empty table gives no rows. Texts of any length are taken whole. Classes are 64-bit hashes of sets.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, input_bytes, partitions_for, slices, unused
+from textloom.llm.common import cut, input_bytes, join_by_weight, partitions_for, slices, unused
 from textloom.llm.components import components
 from textloom.llm.words import mixed, shingle_sets
 
@@ -39,7 +41,8 @@ FREQUENT_SHARE, FREQUENT_MOST = 0.001, 100_000
 #: Shingles of a cluster that one task takes; larger clusters are dealt out in pairs of blocks.
 CLUSTER_SHINGLES = 1 << 20
 
-DIGEST = "doc_id long, class long, n int, signature binary"
+DIGEST = "doc_id long, row long, class long, n int, signature binary"
+LAST = (1 << 63) - 1
 
 
 def signature(own: np.ndarray) -> bytes:
@@ -66,7 +69,7 @@ def digest(docs: DataFrame) -> DataFrame:
             for part in slices(batch, limit=4 << 20):
                 sets = shingle_sets(part.column("text"))
                 classes = [class_of(s) for s in sets]
-                ids = part.column("doc_id").to_pylist()
+                ids, own = part.column("doc_id").to_pylist(), part.column("row").to_pylist()
                 sizes, marks = [len(s) for s in sets], [signature(s) if len(s) else None for s in sets]
                 once = {c: s for c, s in zip(classes, sets) if c is not None}
                 if once:
@@ -76,15 +79,16 @@ def digest(docs: DataFrame) -> DataFrame:
                     often = np.flatnonzero(counts >= max(3, FREQUENT_SHARE * len(once)))
                     often = often[np.argsort(-counts[often], kind="stable")[: 1 << 14]]
                     ids.append(None)
+                    own.append(None)
                     classes.append(None)
                     sizes.append(-1)
                     marks.append(every[first[often]].astype("<u8").tobytes() + counts[often].astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())],
-                    names=["doc_id", "class", "n", "signature"],
+                    [pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())],
+                    names=["doc_id", "row", "class", "n", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, DIGEST)
 
 
 def frequent(digests: DataFrame, n_docs: int) -> np.ndarray:
@@ -184,6 +188,7 @@ class SignatureTree:
         """Pairs that connect whatever the possible (and verified) pairs connect."""
         n = len(self.order)
         label, found = np.arange(n), []
+        members: dict[int, list[int]] = {}
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, i, j = stack.pop()
@@ -207,7 +212,11 @@ class SignatureTree:
             for p, q in pairs:
                 if label[p] != label[q] and (verify is None or verify(self.order[p], self.order[q])):
                     found.append((int(self.order[p]), int(self.order[q])))
-                    label[label == label[q]] = label[p]
+                    # the smaller side takes the other's label: each leaf changes at most log2(n) times
+                    small, big = sorted((int(label[p]), int(label[q])), key=lambda x: len(members.get(x, (x,))))
+                    moved = members.pop(small, [small])
+                    members.setdefault(big, [big]).extend(moved)
+                    label[moved] = big
         return found
 
 
@@ -268,14 +277,14 @@ def candidates(grouped: DataFrame, classes: DataFrame, slots: int) -> DataFrame:
 
 
 def links(docs: DataFrame, members: DataFrame, slots: int) -> DataFrame:
-    """Verified edges (a, b) within clusters; members: class, cluster, n, doc_id (any row of the class)."""
+    """Verified edges (a, b) within clusters; members: class, cluster, n, ord and row (any row of the class)."""
     weight = members.groupBy("cluster").agg(F.sum("n").alias("weight")).select("cluster", F.ceil(F.col("weight") / CLUSTER_SHINGLES).cast("int").alias("blocks"))
     dealt = members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # a block meets every block: its rows go to as many tasks as the cluster has blocks
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("doc_id").alias("of"), "class", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("ord", "row", "class", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(slots)).cast("int"))
-    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = docs.select("ord", "row", "text").join(dealt, ["ord", "row"])
 
     def verify(table: pa.Table) -> pa.Table:
         sets = [own for batch in table.to_batches() for piece in slices(batch) for own in shingle_sets(piece.column("text"))]
@@ -283,7 +292,7 @@ def links(docs: DataFrame, members: DataFrame, slots: int) -> DataFrame:
         keys = list(zip(*(table.column(c).to_pylist() for c in ("cluster", "i", "j"))))
         tasks: dict = {}
         for k, (key, c, own) in enumerate(zip(keys, owner.tolist(), sets)):
-            if class_of(own) == c:  # rows that share a doc_id may have other texts
+            if class_of(own) == c:
                 tasks.setdefault(key, {})[c] = k
         pairs = set()
         for rows in tasks.values():
@@ -297,30 +306,57 @@ def links(docs: DataFrame, members: DataFrame, slots: int) -> DataFrame:
     return texts.select("slot", "cluster", "i", "j", "class", "text").groupBy("slot").applyInArrow(verify, "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _ord() -> F.Column:
+    """doc_id, nulls last."""
+    return F.coalesce("doc_id", F.lit(LAST)).alias("ord")
+
+
+def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Rows (doc_id, row, class, n) and their number's table of classes (class, copies, ord, row of the
+    component's first document), the first documents (ord, row), and whether there are equal rows."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", _ord(), F.xxhash64("doc_id", "text").alias("row"), "text")
     spark = docs.sparkSession
     parts = 2 * partitions_for(spark, 2 * input_bytes(docs), 16 << 20)
     digests = cut(digest(docs), "digests")
     rows = digests.where("n >= 0")
     order = frequent(digests, rows.count())
     grouped = cut(groups(docs, order, parts), "groups")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(_ord(), "row")).alias("first")
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.min("signature").alias("signature"), first, F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.select("class", "n", "signature", "first", "copies"), "classes")
+    equal = not rows.groupBy(_ord(), "row").count().where("count > 1").isEmpty()
     near = components(candidates(grouped, classes, parts))
     near = near.select(F.col("node").alias("class"), F.col("root").alias("cluster")).union(near.select("root", "root").distinct())
-    members = near.join(classes.drop("signature"), "class")
-    final = components(links(docs, members, parts)).select(F.col("node").alias("class"), "root")
-    named = classes.select("class", "doc_id").join(final, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = named.join(least, "root").select("class", "component_id")
-    return rows.join(known, "class", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    members = near.join(classes.select("class", "n", "first.ord", "first.row"), "class")
+    one_each = docs.dropDuplicates(["ord", "row"]) if equal else docs
+    final = components(links(one_each, members, parts)).select(F.col("node").alias("class"), "root")
+    named = cut(classes.select("class", "first", "copies").join(final, "class", "left").withColumn("root", F.coalesce("root", "class")), "named")
+    least = cut(named.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members")), "least")
+    known = join_by_weight(named.select("class", "copies", "root"), least, ["root"], "members", named.count())
+    known = cut(known.select("class", "copies", "least.ord", F.col("least.row").alias("of")), "known")
+    return rows.select("doc_id", "row", "class", "n"), known, least.select("least.ord", "least.row"), equal
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    rows, known, _, _ = solved(docs)
+    worded = join_by_weight(rows.where("n > 0"), known.select("class", "copies", "ord"), ["class"], "copies", rows.count())
+    worded = worded.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("ord") != LAST, F.col("ord")).alias("component_id"))
+    return worded.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    name = unused(docs, "kept")
-    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    """One document of each component, the first by doc_id (nulls last) and a hash of the text, with all its
+    columns; documents without words stay."""
+    rows, _, least, equal = solved(docs)
+    of, row = unused(docs, "of"), unused(docs, "row")
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(of, F.coalesce(doc_id, F.lit(LAST))).withColumn(row, F.xxhash64(doc_id, F.col("text").cast("string")))
+    wordless = rows.where("n = 0").select(_ord(), "row").distinct()
+    named = lambda df: df.select(F.col("ord").alias(of), F.col("row").alias(row))
+    if not equal:
+        return keyed.join(named(least.union(wordless)), [of, row], "left_semi").select(*docs.columns)
+    # equal rows: one of each that has words
+    first = keyed.join(named(least), [of, row], "left_semi").dropDuplicates([of, row])
+    return first.unionByName(keyed.join(named(wordless), [of, row], "left_semi")).select(*[F.col(f"`{c}`") for c in docs.columns])
