@@ -1,28 +1,34 @@
-"""Benchmark decontamination: BM25 over test items, block-max pruning, then overlap of question and answer.
-
-The index holds, for each term, its items and BM25 weights, divided by the item's own total so that an
-item scores 1 against itself. Every training document is cut into overlapping passages, twice as long
-as the longest item and half that apart, so any stretch as long as an item lies within one passage.
-Every passage is a query, and every item that reaches the threshold is retrieved:
-
-* Of each item's weights the lightest are set aside as long as they sum to less than LIGHT. A passage
-  can reach the threshold only if the others, the essential postings, bring the rest.
-* Passages that pass go through the blocks of items: a block whose summed block maxima stay below the
-  threshold is skipped, the others are scored in full.
-
-An item is verified in a document if OVERLAP of its question's word five-grams and of its answer's (the
-last sentence) are in the document, or that share of the whole item's.
-
-Defined cases: null or empty texts have no passages; items of under MIN_TERMS words are not searched
-for, as ordinary text holds them; repeated items are reported each; repeated rows are repeated; an empty
-benchmark or table gives no rows. Benchmarks are taken in blocks of BLOCK_BYTES of text, each a pass over
-the documents, so neither the driver nor a worker holds more than one block's index.
+"""Benchmark decontamination: BM25 over test items, block-max WAND, then overlap of question and answer.
+
+The index holds, for each term, its items in order and their BM25 weights, divided by the item's own total so
+that an item scores 1 against itself. Document frequencies, the number of items, their mean and greatest length
+are those of the whole benchmark. Every training document is cut into overlapping passages, twice as long as the
+longest item and half that apart, so any stretch as long as an item lies within one passage. Every passage is
+a query, and every item that reaches the threshold is retrieved:
+
+* Of each item's weights the lightest are set aside as long as they sum to less than LIGHT. A passage can reach
+  the threshold only if the others, the essential postings, bring the rest. A batch of passages meets these at once.
+* Passages that pass are searched by block-max WAND: cursors in item order, the pivot where summed term maxima
+  reach the threshold, blocks of items skipped whose own maxima don't, the others scored in full.
+
+An item is verified in a document if OVERLAP of its question's word five-grams and of its answer's (the last
+sentence) are in the document, or that share of the whole item's; an item of under five words, if the document
+has its words in a row.
+
+Defined cases: null or empty texts have no passages; items without a word, or of under ``min_terms``, are not
+searched for (one word is enough by default: a benchmark of common words would mark ordinary texts); repeated
+items are reported each; repeated rows are repeated; an empty benchmark or table gives no rows. Benchmarks are
+taken in blocks of ``block_bytes`` of text, each a pass over the documents, so neither the driver nor a worker
+holds more than one block's index; scores don't depend on the blocks.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices
+from textloom.llm.common import cut, slices
 from textloom.llm.words import FACTORS, SHINGLE, mixed, numbered_words
 
 K1, B = 1.2, 0.75
 THRESHOLD, LIGHT, OVERLAP = 0.6, 0.35, 0.75
-MIN_TERMS = 5
+MIN_TERMS = 1
 BLOCK_ITEMS = 16
 BLOCK_BYTES = 4 << 20
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -69,33 +75,63 @@ def grams(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(runs)[known]
 
 
+@dataclass
+class Statistics:
+    """Of a whole benchmark: number of items, their mean and greatest number of terms, and in how many items
+    each term is (those of one block's vocabulary are enough)."""
+
+    items: int
+    mean: float
+    longest: int
+    frequency: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "Statistics":
+        words = [w for t in texts if (w := terms(t or ""))]
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=1), Counter(t for w in words for t in set(w)))
+
+
+class Cursor:
+    """A term's postings in item order, and where the search stands in them."""
+
+    __slots__ = ("items", "weights", "most", "blocks", "at", "item")
+
+    def __init__(self, posting: tuple) -> None:
+        self.items, self.weights, self.most, self.blocks = posting
+        self.at, self.item = 0, self.items[0]
+
+    def seek(self, item: int) -> None:
+        """To the first posting of at least this item; beyond the last one, item is None."""
+        self.at = bisect_left(self.items, item, self.at)
+        self.item = self.items[self.at] if self.at < len(self.items) else None
+
+
 class Index:
     """Inverted index of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, text) for i, text in items if len(terms(text or "")) >= MIN_TERMS]
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None, min_terms: int = MIN_TERMS) -> None:
+        self.items = [(i, text) for i, text in items if len(terms(text or "")) >= max(1, min_terms)]
+        whole = whole or Statistics.of([text for _, text in self.items])
+        self.work: Counter = Counter()
         words = [terms(text) for _, text in self.items]
         self.vocabulary = {t: k for k, t in enumerate(sorted({t for w in words for t in w}))}
         ids = [np.array([self.vocabulary[t] for t in w]) for w in words]
-        self.stride = max([32, *map(len, ids)])
+        self.stride = max(32, whole.longest)
         self.parts = []
         for (_, text), own in zip(self.items, ids):
             pair = [np.array([self.vocabulary[t] for t in terms(p)], dtype=np.int64) for p in question_and_answer(text)]
             self.parts.append([(np.unique(grams(p, min(SHINGLE, len(p)))), min(SHINGLE, len(p))) for p in (*pair, own)])
-        df = np.zeros(len(self.vocabulary))
-        for own in ids:
-            df[np.unique(own)] += 1
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(x) for x in ids]) if ids else 1.0
-        self.postings: dict[int, list[tuple[int, float]]] = {}
+        df = np.array([whole.frequency[t] for t in self.vocabulary])  # in the order of their numbers
+        idf = np.log1p((whole.items - df + 0.5) / (df + 0.5)) if len(df) else df
+        postings: dict[int, list[tuple[int, float]]] = {}
         essential = []
         self.needed = np.zeros(len(ids))
         for k, own in enumerate(ids):
             t, tf = np.unique(own, return_counts=True)
-            weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
+            weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / whole.mean))
             weight /= weight.sum()
             for a, w in zip(t.tolist(), weight.tolist()):
-                self.postings.setdefault(a, []).append((k, w))
+                postings.setdefault(a, []).append((k, w))
             order = np.argsort(weight, kind="stable")
             light = np.cumsum(weight[order]) < LIGHT
             self.needed[k] = THRESHOLD - weight[order][light].sum() - 1e-9
@@ -104,13 +140,13 @@ class Index:
         self.essential_term, self.essential_item = (np.array([e[c] for e in essential], dtype=np.int64) for c in (0, 1))
         self.essential_weight = np.array([e[2] for e in essential])
         self.first = np.searchsorted(self.essential_term, np.arange(len(self.vocabulary) + 1))
-        self.blocks = -(-len(ids) // BLOCK_ITEMS)
-        self.maxima = {}
-        for t, own in self.postings.items():
-            best = {}
+        #: By term: items in order, weights, their maximum, and the maximum of each block of items.
+        self.postings: dict[int, tuple[list[int], list[float], float, dict[int, float]]] = {}
+        for t, own in postings.items():
+            maxima: dict[int, float] = {}
             for k, w in own:
-                best[k // BLOCK_ITEMS] = max(best.get(k // BLOCK_ITEMS, 0.0), w)
-            self.maxima[t] = best
+                maxima[k // BLOCK_ITEMS] = max(maxima.get(k // BLOCK_ITEMS, 0.0), w)
+            self.postings[t] = [k for k, _ in own], [w for _, w in own], max(w for _, w in own), maxima
 
     def number(self, distinct: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
         """Term numbers of distinct words: -1 unknown, -2 only signs."""
@@ -123,19 +159,43 @@ class Index:
         return np.fromiter(map(cache.__getitem__, distinct), dtype=np.int64, count=len(distinct))
 
     def search(self, passage: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of every item that reaches the threshold against a passage's terms."""
-        query = [t for t in np.unique(passage).tolist() if t >= 0]
-        bound: dict[int, float] = {}
-        for t in query:
-            for block, w in self.maxima[t].items():
-                bound[block] = bound.get(block, 0.0) + w
-        live = {b for b, w in bound.items() if w >= THRESHOLD - 1e-9}
-        scores: dict[int, float] = {}
-        for t in query:
-            for k, w in self.postings[t]:
-                if k // BLOCK_ITEMS in live:
-                    scores[k] = scores.get(k, 0.0) + w
-        return [(k, s) for k, s in sorted(scores.items()) if s >= THRESHOLD - 1e-9]
+        """(item, score) of every item that reaches the threshold against a passage's terms, by block-max WAND."""
+        least = THRESHOLD - 1e-9
+        cursors = [Cursor(self.postings[t]) for t in np.unique(passage).tolist() if t >= 0]
+        out = []
+        while True:
+            cursors = sorted((c for c in cursors if c.item is not None), key=lambda c: c.item)
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c.most
+                if bound >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return out
+            item = cursors[pivot].item
+            while pivot + 1 < len(cursors) and cursors[pivot + 1].item == item:
+                pivot += 1
+            block = item // BLOCK_ITEMS
+            if sum(c.blocks.get(block, 0.0) for c in cursors[: pivot + 1]) < least:
+                # none of these terms' items up to the block's end can reach it, unless another term comes in
+                self.work["skipped"] += 1
+                target = (block + 1) * BLOCK_ITEMS
+                if pivot + 1 < len(cursors):
+                    target = min(target, cursors[pivot + 1].item)
+                for c in cursors[: pivot + 1]:
+                    c.seek(target)
+            elif cursors[0].item == item:
+                own = cursors[: pivot + 1]
+                score = sum(c.weights[c.at] for c in own)
+                self.work["scored"] += 1
+                if score >= least:
+                    out.append((item, score))
+                for c in own:
+                    c.seek(item + 1)
+            else:
+                for c in cursors[:pivot]:
+                    c.seek(item)
 
     def retrieve(self, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
         """(document, item, best score) over all passages of a batch of documents."""
@@ -177,7 +237,8 @@ class Index:
                 if size not in held:
                     held[size] = grams(ids, size)
                 shares.append(float(np.isin(own, held[size]).mean()))
-            if min(shares[:2]) >= OVERLAP or shares[2] >= OVERLAP:
+            short = self.parts[k][2][1] < SHINGLE
+            if shares[2] >= OVERLAP or not short and min(shares[:2]) >= OVERLAP:
                 out.append((k, score, *shares[:2]))
         return out
 
@@ -194,14 +255,38 @@ class Index:
         return [(d, self.items[k][0], s, q, a) for d in sorted(per_doc) for k, s, q, a in self.verified(ids[bounds[d] : bounds[d + 1]], per_doc[d])]
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The benchmark's indexes, one block of items in the driver's memory at a time."""
+def term_rows(items: DataFrame) -> DataFrame:
+    """term, n: a row for each distinct term of an item, and one without a term for its number of terms."""
+
+    def run(batches):
+        for batch in batches:
+            found: list[tuple[str | None, int]] = []
+            for text in batch.column("text").to_pylist():
+                own = terms(text or "")
+                if own:
+                    found += [(None, len(own)), *[(t, 1) for t in set(own)]]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["term", "n"])
+
+    return items.select("text").mapInArrow(run, "term string, n long")
+
+
+def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_terms: int = MIN_TERMS):
+    """The benchmark's indexes, one block of items in the driver's memory at a time, with the whole's statistics."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    rows = cut(term_rows(items), "item-terms")
+    totals = rows.where("term is null").agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+    if not totals[0]:
+        return
+    frequency = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        found = own.collect()
+        # no more terms than the block's text has
+        counts = frequency.join(term_rows(own).where("term is not null").select("term").distinct(), "term", "left_semi").collect() if found else []
+        whole = Statistics(totals[0], float(totals[1]), int(totals[2]), {r["term"]: r["df"] for r in counts})
+        index = Index(sorted(((r["item_id"], r["text"]) for r in found), key=lambda r: (r[0] is None, r[0] or 0, r[1])), whole, min_terms)
         if index.items:
             yield index
 
@@ -209,7 +294,7 @@ def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_terms: int = MIN_TERMS) -> DataFrame:
     """A row for each document and item whose text the document holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = docs.sparkSession.createDataFrame([], LEAKS)
@@ -226,13 +311,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
         return docs.mapInArrow(run, LEAKS)
 
-    found = [passes(index) for index in indexes(benchmark, block_bytes)]
+    found = [passes(index) for index in indexes(benchmark, block_bytes, min_terms)]
     for k, more in enumerate(found):
         out = more if k == 0 else out.union(more)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_terms: int = MIN_TERMS) -> DataFrame:
     """The documents that hold no item, with all their columns; no shuffle."""
 
     def holds(index: Index):
@@ -249,6 +334,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
         return leaking
 
-    for index in indexes(benchmark, block_bytes):
+    for index in indexes(benchmark, block_bytes, min_terms):
         docs = docs.where(~holds(index)(F.col("text")))
     return docs
