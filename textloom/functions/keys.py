@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+# Fixed values by a rule: keys of one store must agree. tests/test_functions.py holds listed values against it.
 def letter_pair(index: int) -> str:
     """Two letters for a byte: the first counts up, the second marks the round of 26 by every other letter."""
     turn = index // 26
@@ -43,3 +44,14 @@ def decode_key(name: str) -> str:
     """The inverse for characters from 0x10 to 0xff, two digits after each _."""
     head, *rest = name.split("_")
     return head + "".join(chr(int(x[:2], 16)) + x[2:] for x in rest)
+
+
+def key_column(text: Column, decode: bool = False) -> Column:
+    """encode_key or decode_key of a column."""
+
+    @F.pandas_udf("string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else (decode_key if decode else encode_key)(t))
+
+    return coded(text)

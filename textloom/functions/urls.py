@@ -18,6 +18,19 @@ AGENT = "textloom-crawler"
 DEEPEST = 5
 LONGEST = 2048
 HOST_CAP, HOST_CAP_STANDARD = 200, 25_000
+# Hosts that may have more pages; a part of the host's name is enough.
+STANDARD_HOSTS = (
+    "wikipedia", "reddit", "medium", "bbc", "cnn", "nytimes", "stackoverflow", "imdb", "allrecipes", "epicurious", "quora", "researchgate",
+    "scholar.google.com", "arxiv.org", "forbes", "healthline", "webmd", "bloomberg", "tripadvisor", "sciencedirect", "theguardian", "washingtonpost", "cnet", "techcrunch",
+)
+
+
+def host_cap(host: Column) -> Column:
+    """How many pages of a host are crawled."""
+    known = F.lit(False)
+    for name in STANDARD_HOSTS:
+        known = known | F.contains(host, F.lit(name))
+    return F.when(known, HOST_CAP_STANDARD).otherwise(HOST_CAP)
 
 
 def parse_url(url: Column) -> Column:
@@ -79,13 +92,8 @@ def graph_url(url: Column, base: Column) -> Column:
     steps = (F.length(ups) / 3).cast("int")
     # each ../ takes one part from the base's path
     climbed = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), at["path"], lambda acc, _: F.regexp_extract(acc, r"(?s)^(.*/)[^/]*.$", 1))
-    parent = (
-        F.when(path.startswith("/"), "")
-        .when(steps > 0, climbed)
-        .when(path != "", _up_to_slash(at["path"]))
-        .otherwise(at["path"])
-    )
-    port = _or(own["port"], F.when(F.coalesce(own["host"], F.lit("")) != "", default(protocol)).otherwise(default(protocol)))
+    parent = F.when(path.startswith("/"), "").when(steps > 0, climbed).when(path != "", _up_to_slash(at["path"])).otherwise(at["path"])
+    port = _or(own["port"], default(protocol))
     return F.concat(protocol, F.lit("://"), _or(own["host"], at["host"]), F.lit(":"), port, parent, F.regexp_replace(path, r"^(?:\.\./)+", ""))
 
 
@@ -104,6 +112,11 @@ def is_indexable(url: Column, status: Column) -> Column:
     return F.coalesce(~F.contains(url, F.lit("..")) & (F.length(url) <= LONGEST) & (status == "200"), F.lit(False))
 
 
+def _pattern(rule: str) -> str:
+    """A rule's path as a pattern: * is any run, a dot any character, all else stands for itself."""
+    return "".join(".*" if c == "*" else "\\" + c if c in "?()[]{}+^$|\\" else c for c in rule)
+
+
 def robots_rules(text: str, agent: str = AGENT) -> list[tuple[bool, str]]:
     """(allow, pattern) rules of the first section for the agent, else for *; empty rules are left out."""
     for wanted in (agent, "*"):
@@ -115,7 +128,7 @@ def robots_rules(text: str, agent: str = AGENT) -> list[tuple[bool, str]]:
             elif inside and name in ("Allow", "Disallow"):
                 rules.append((name == "Allow", value.strip()))
         if rules:
-            return [(a, "^" + p.replace("*", ".*").replace("?", "\\?") + ".*$") for a, p in rules if p]
+            return [(a, "^" + _pattern(p) + ".*$") for a, p in rules if p]
     return []
 
 

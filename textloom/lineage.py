@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder does for a local master, whose executors are the
+    driver; on a cluster it is an error, as they don't share one."""
     context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="textloom-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return found or context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """df.checkpoint() in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()

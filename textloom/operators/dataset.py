@@ -14,6 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.lineage import checkpointed
+
+#: Elements that are folded at once: a power of two.
+FOLDED = 4096
+
 
 class Destroyed(RuntimeError):
     """A dataset was used after destroy()."""
@@ -114,11 +119,20 @@ class Dataset(_Held):
         return self.df.groupBy(key(F.col("value")).alias("key")).agg(F.array_sort(F.collect_list("value")).alias("values"))
 
     def fold(self, zero: Column, step: Callable[[Column, Column], Column]) -> str:
-        """step over all elements from zero, once. step must be associative and commutative with zero neutral:
-        parts are folded where they are, and only one value per partition goes on."""
-        parts = self.df.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("value").alias("v")).select(F.aggregate("v", zero, step).alias("v"))
-        found = parts.agg(F.aggregate(F.collect_list("v"), zero, step).alias("v")).first()
-        return found["v"]
+        """step over all elements from zero. step must be associative and commutative with zero neutral: runs of
+        FOLDED elements are folded where they are, then the runs' values, until one is left. No task holds more."""
+        parts, left = self.df.select("value"), None
+        while True:
+            run = F.shiftright(F.col("at"), FOLDED.bit_length() - 1)  # rows of a partition have consecutive numbers
+            folded = parts.withColumn("at", F.monotonically_increasing_id()).groupBy(run.alias("run")).agg(F.collect_list("value").alias("v"))
+            parts = checkpointed(folded.select(F.aggregate("v", zero, step).alias("value")))
+            before, left = left, parts.count()
+            if left == 1:
+                return parts.first()["value"]
+            if left == 0:
+                return self.df.sparkSession.range(1).select(zero).first()[0]
+            if before is not None or left <= FOLDED:
+                parts = parts.coalesce(max(1, left // FOLDED))
 
     def fold_sum(self) -> float:
         return self.df.agg(F.sum(F.col("value").cast("double"))).first()[0]

@@ -6,10 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import anchors, clean_html, is_english, is_stop_word, page_words
-from textloom.functions.urls import HOST_CAP, crawl_url, is_unwanted, parse_url, robots_allowed, robots_allowed_by_text
+from textloom.functions.urls import HOST_CAP, crawl_delay_ms, crawl_url, host_cap, is_unwanted, parse_url, robots_allowed, robots_allowed_by_text
 from textloom.lineage import checkpointed
 
 LINKS_PER_PAGE = 30
+MOST_CHARS = 2_000_000
+
+
+def start(seeds: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """url: the seeds and what a former crawl left to do, once each."""
+    return (seeds if saved is None else seeds.select("url").union(saved.select("url"))).select("url").distinct()
+
+
+def fetch(urls: DataFrame, pages: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """url, status, html, length of each url from stored pages (url, html): at most `most` characters are read."""
+    found = urls.select("url").join(pages.select("url", F.substring("html", 1, most).alias("html"), F.lit("200").alias("status")), "url", "left")
+    return found.select("url", F.coalesce("status", F.lit("404")).alias("status"), "html", F.coalesce(F.length("html"), F.lit(0)).alias("length"))
 
 
 def frontier(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -74,6 +86,15 @@ def cleaned(pages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     return words.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("url", F.transform("w", lambda x: x["word"]).alias("words"))
 
 
+def cleaned_with_links(pages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """url, page, length: a page as the crawl stores it, its words and then its links as empty anchors."""
+    links = page_links(pages.where(is_english(F.col("html")))).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("links"))
+    both = pages.select("url").join(cleaned(pages, dictionary), "url", "left").join(links, F.col("url") == F.col("src"), "left")
+    anchors_of = F.transform("links", lambda u: F.concat(F.lit(' <a href="'), u, F.lit('"></a>')))
+    page = F.concat(F.coalesce(F.array_join("words", " "), F.lit("")), F.coalesce(F.array_join(anchors_of, ""), F.lit("")))
+    return both.where("words is not null or links is not null").select("url", page.alias("page"), F.length(page).alias("length"))
+
+
 MOST_REDIRECTS = 3
 
 
@@ -90,15 +111,19 @@ def crawl(
     pages: DataFrame,
     robots: DataFrame | None = None,
     redirects: DataFrame | None = None,
-    cap: int = HOST_CAP,
+    cap: int | None = None,
     defer: float = 0.0,
     rounds: int | None = None,
+    most_waiting: int | None = None,
+    round_ms: float | None = None,
 ) -> DataFrame:
     """An offline crawl: url, depth, canonical of the stored pages (url, html) that a crawler would store.
 
     Each round takes the front, puts off a repeatable share of it, follows redirects, respects robots
-    (host, robots) and the cap of pages per host over all rounds, reads the pages that are there, and
-    goes on to their links that are new. canonical is the url that showed the same content first.
+    (host, robots) and the cap of pages per host over all rounds (by default that of the host's class), reads
+    the pages that are there, and goes on to their links that are new. canonical is the url that showed the
+    same content first. With most_waiting, a longer front is pruned to a tenth of that. With round_ms, what a
+    round takes, hosts are read no faster than their crawl delay allows; what has to wait comes again.
     """
     front = checkpointed(seeds.select(crawl_url(F.col("url"), F.col("url")).alias("url")).where("url is not null").distinct())
     seen, stored, depth = front, None, 0
@@ -110,23 +135,33 @@ def crawl(
             now = resolve_redirects(now, redirects).distinct()
             if stored is not None:
                 now = now.join(stored.select("url"), "url", "left_anti")
-        now = now.withColumn("host", parse_url(F.col("url"))["host"])
+        now = now.withColumn("host", parse_url(F.col("url"))["host"]).withColumn("robots", F.lit(""))
         if robots is not None:
             path = parse_url(F.col("url"))["path"]
-            ruled = now.join(robots.select("host", "robots"), "host", "left")
-            now = ruled.where(robots_allowed_by_text(F.coalesce("robots", F.lit("")), path)).drop("robots")
+            ruled = now.drop("robots").join(robots.select("host", "robots"), "host", "left").withColumn("robots", F.coalesce("robots", F.lit("")))
+            now = ruled.where(robots_allowed_by_text(F.col("robots"), path))
         now = now.join(pages.select("url"), "url", "left_semi")  # what is not there doesn't count
-        before = now.select("host").distinct().withColumn("had", F.lit(0))
+        before = now.select("host").distinct().select("host", F.lit(0).alias("had"), F.lit(None).cast("int").alias("last"))
         if stored is not None:
-            before = stored.groupBy(parse_url(F.col("url"))["host"].alias("host")).agg(F.count(F.lit(1)).alias("had"))
+            before = stored.groupBy(parse_url(F.col("url"))["host"].alias("host")).agg(F.count(F.lit(1)).alias("had"), F.max("depth").alias("last"))
+        most = host_cap(F.col("host")) if cap is None else F.lit(cap)
         nth = F.row_number().over(Window.partitionBy("host").orderBy("url"))
-        now = now.withColumn("nth", nth).where(F.col("nth") <= cap).join(before, "host", "left").where(F.col("nth") + F.coalesce("had", F.lit(0)) <= cap)
+        now = now.withColumn("nth", nth).join(before, "host", "left").where(F.col("nth") + F.coalesce("had", F.lit(0)) <= most)
+        if round_ms is not None:
+            delay = crawl_delay_ms(F.col("robots"))
+            rested = F.coalesce((F.lit(depth) - F.col("last")) * round_ms >= delay, F.lit(True))
+            on_time = rested & (F.col("nth") <= F.greatest(F.lit(1), F.floor(F.lit(round_ms) / delay)))
+            now = checkpointed(now)
+            waiting, now = waiting.unionByName(now.where(~on_time).select("url")), now.where(on_time)
         fetched = now.select("url").join(pages, "url").withColumn("depth", F.lit(depth))
         found = page_links(fetched).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         fresh = checkpointed(fetched)
         stored = fresh if stored is None else stored.unionByName(fresh)
         found = checkpointed(found)
-        seen, front, depth = seen.unionByName(found), checkpointed(found.unionByName(waiting)), depth + 1
+        front = found.unionByName(waiting)
+        if most_waiting is not None:
+            front = prune(front, most_waiting, most_waiting // 10)
+        seen, front, depth = seen.unionByName(found), checkpointed(front), depth + 1
     if stored is None:
         stored = front.join(pages, "url").withColumn("depth", F.lit(0))
     order = stored.withColumn("order", F.struct("depth", "url"))

@@ -22,6 +22,12 @@ def query_terms(query: str) -> list[str]:
     return list(out)
 
 
+def term_counts(queries: DataFrame) -> DataFrame:
+    """term, n: how often each lower-case word is asked for in queries (query). It weights no score."""
+    words = queries.select(F.explode(F.split(F.lower("query"), r"\s+")).alias("term")).where("term <> ''")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def search(post: DataFrame, ranks: DataFrame, terms: list[str], n_docs: int) -> DataFrame:
     """doc, score: summed tf/l2 * idf over the terms, times the document's rank; best first, ties by doc.
 

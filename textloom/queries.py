@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions import urls
-from textloom.functions.keys import letter_hash_column
-from textloom.functions.stem import stemmed_vocabulary
 from textloom.lineage import shared_folder
 from textloom.operators.dataset import Dataset, PairDataset
 from textloom.plans import crawl, graph, index, search
@@ -67,26 +65,6 @@ def range_scan(spark, folder):
     return tables.scan(table, "Customer#000000100", "Customer#000000200")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
-def point_get(spark, folder):
-    return load(spark, folder, "orders").where("o_orderkey = 42").select("o_orderkey", "o_custkey", "o_totalprice")
-
-
-@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 45)")
-def exists_rows(spark, folder):
-    lines = load(spark, folder, "lineitem").where("l_quantity > 45")
-    return load(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
-
-
-@query(
-    "SELECT key, event_id, value FROM (SELECT concat_ws('|', user_id, event_type) AS key, event_id, value,"
-    " row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
-)
-def upsert_latest_wins(spark, folder):
-    events = load(spark, folder, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), "event_id", "value", "ts")
-    return tables.latest_rows(events, "key", F.desc("ts"), F.desc("event_id")).drop("ts")
-
-
 @query("SELECT s_suppkey AS key, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 100 ELSE s_acctbal END AS balance FROM supplier")
 def upsert_cells(spark, folder):
     base = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
@@ -118,18 +96,6 @@ def save_rename_delete(spark, folder):
     return store.read("pt-second")
 
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
-def table_counts(spark, folder):
-    out = None
-    for t in TABLES:
-        one = load(spark, folder, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
 @query("SELECT p_partkey AS key, p_name FROM part ORDER BY p_partkey LIMIT 10 OFFSET 20")
 def table_page(spark, folder):
     return tables.page(load(spark, folder, "part").select(F.col("p_partkey").alias("key"), "p_name"), 3)
@@ -219,11 +185,6 @@ def semi_lookup(spark, folder):
     return load(spark, folder, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def anti_lookup(spark, folder):
-    return load(spark, folder, "customer").join(load(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def lookup_default(spark, folder):
     labels = load(spark, folder, "labels").select("doc_id", "quality")
@@ -233,21 +194,6 @@ def lookup_default(spark, folder):
 # aggregations
 
 
-@query("SELECT count(*) AS n FROM lineitem")
-def rdd_count(spark, folder):
-    return load(spark, folder, "lineitem").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT round(sum(l_quantity), 2) AS total FROM lineitem")
-def fold_sum(spark, folder):
-    return load(spark, folder, "lineitem").agg(F.round(F.sum("l_quantity"), 2).alias("total"))
-
-
-@query("SELECT max(l_extendedprice) AS top FROM lineitem")
-def fold_max(spark, folder):
-    return load(spark, folder, "lineitem").agg(F.max("l_extendedprice").alias("top"))
-
-
 @query("SELECT CAST(sum(n_regionkey) AS VARCHAR) AS value FROM nation")
 def fold_generic(spark, folder):
     keys = Dataset.from_table(load(spark, folder, "nation"), F.col("n_regionkey"))
@@ -255,12 +201,6 @@ def fold_generic(spark, folder):
     return spark.createDataFrame([(total,)], "value string")
 
 
-@query("SELECT l_returnflag AS key, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY 1")
-def fold_by_key(spark, folder):
-    pairs = PairDataset(load(spark, folder, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_quantity").alias("value")))
-    return pairs.aggregate_by_key(lambda v: F.round(F.sum(v), 2)).df
-
-
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS key, string_agg('|' || n_name, '' ORDER BY n_name) AS value FROM nation GROUP BY 1")
 def fold_by_key_concat(spark, folder):
     pairs = PairDataset(load(spark, folder, "nation").select(F.col("n_regionkey").cast("string").alias("key"), F.col("n_name").alias("value")))
@@ -277,9 +217,9 @@ def distinct_values(spark, folder):
     return Dataset.from_table(load(spark, folder, "events"), F.col("user_id")).distinct().df
 
 
-@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1")
+@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1")
 def word_count(spark, folder):
-    words = load(spark, folder, "documents").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]+", " ")), " ")).alias("word"))
+    words = load(spark, folder, "documents").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^\\p{L}\\p{N}]+", " ")), " ")).alias("word"))
     return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -306,11 +246,6 @@ def doc_norm(spark, folder):
     return index.norms(index.postings(index.term_positions(_docs(spark, folder)))).select("doc", F.round("l2", 6).alias("l2"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS term, count(*) AS n FROM events GROUP BY 1")
-def query_term_counts(spark, folder):
-    return load(spark, folder, "events").groupBy(F.col("user_id").cast("string").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-
-
 LOWERED = "lower(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[!-/:-@\\[-`{{-~]', ' ', 'g'))"
 CUT = "string_split(trim(regexp_replace(regexp_replace(regexp_replace({}, '([0-9])([^0-9])', '\\1 \\2', 'g'), '([^0-9])([0-9])', '\\1 \\2', 'g'), '\\s+', ' ', 'g')), ' ')"
 PAGE_WORDS = f"SELECT page_id, w FROM (SELECT page_id, unnest({CUT.format(LOWERED.format('html'))}) AS w FROM pages) WHERE w <> ''"
@@ -320,12 +255,6 @@ def _page_words(spark, folder) -> DataFrame:
     return load(spark, folder, "pages").select("page_id", F.explode(tx.page_words(F.col("html"))).alias("w"))
 
 
-@query(f"SELECT w AS term, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS docs FROM (SELECT DISTINCT page_id, w FROM ({PAGE_WORDS})) GROUP BY 1")
-def inverted_index(spark, folder):
-    found = _page_words(spark, folder).groupBy(F.col("w").alias("term")).agg(F.sort_array(F.collect_set("page_id")).alias("docs"))
-    return found.select("term", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
-
-
 @query(f"SELECT w AS term, count(DISTINCT page_id) AS df, round(ln((SELECT count(*) FROM pages) / count(DISTINCT page_id)), 6) AS idf FROM ({PAGE_WORDS}) GROUP BY 1")
 def doc_freq_idf(spark, folder):
     n = load(spark, folder, "pages").count()
@@ -357,25 +286,6 @@ def search_ranked(spark, folder):
     return search.search(index.build(docs, stems=False), ranks, TERMS, docs.count()).select("doc", F.round("score", 6).alias("score"))
 
 
-@query(
-    "SELECT term, doc, tf FROM (SELECT term, doc, tf, row_number() OVER (PARTITION BY term, doc ORDER BY side) AS n FROM"
-    f" (SELECT *, 0 AS side FROM ({POSTINGS}) WHERE doc >= 40 UNION ALL SELECT *, 1 FROM ({POSTINGS}) WHERE doc < 60)) WHERE n = 1"
-)
-def index_merge(spark, folder):
-    part = lambda low, high: index.postings(index.term_positions(_docs(spark, folder, low, high))).select("term", "doc", "tf")
-    return index.merge(part(0, 60), part(40, None))
-
-
-@query(
-    "SELECT term, doc, tf FROM (SELECT term, doc, tf, row_number() OVER (PARTITION BY term, doc ORDER BY side) AS n FROM"
-    f" (SELECT *, 0 AS side FROM ({POSTINGS}) WHERE doc % 3 <> 1 UNION ALL SELECT *, 1 FROM ({POSTINGS}) WHERE doc % 3 <> 0)) WHERE n = 1"
-)
-def index_merge_all(spark, folder):
-    """The merge over all documents: two sides by remainder, which share a third."""
-    part = lambda rule: index.postings(index.term_positions(_docs(spark, folder).where(rule))).select("term", "doc", "tf")
-    return index.merge(part("doc % 3 <> 0"), part("doc % 3 <> 1"))
-
-
 HOST = "regexp_extract(url, '^[a-z]+://([^/:]*)', 1)"
 
 
@@ -387,11 +297,6 @@ def host_cap(spark, folder):
 # sorts, sets
 
 
-@query("SELECT c_name AS value FROM customer ORDER BY c_name LIMIT 20")
-def take_sorted(spark, folder):
-    return Dataset.from_table(load(spark, folder, "customer"), F.col("c_name")).df.orderBy("value").limit(20)
-
-
 @query("SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation ORDER BY 1, 2")
 def pair_order(spark, folder):
     return _nations(spark, folder).sorted()
@@ -403,19 +308,6 @@ def intersection(spark, folder):
     return left.intersection(Dataset.from_table(load(spark, folder, "supplier").where("s_acctbal > 5000"), F.col("s_nationkey"))).df
 
 
-@query("SELECT url FROM pages WHERE page_id < 50 UNION SELECT url FROM pages WHERE page_id BETWEEN 30 AND 80")
-def frontier_union(spark, folder):
-    pages = load(spark, folder, "pages")
-    return pages.where("page_id < 50").select("url").union(pages.where("page_id between 30 and 80").select("url")).distinct()
-
-
-@query("SELECT url FROM pages WHERE page_id % 3 <> 0 UNION SELECT url FROM pages WHERE page_id % 3 <> 1")
-def frontier_union_all(spark, folder):
-    """The union over all pages: two sides by remainder, which share a third."""
-    pages = load(spark, folder, "pages")
-    return pages.where("page_id % 3 <> 0").select("url").union(pages.where("page_id % 3 <> 1").select("url")).distinct()
-
-
 @query(
     "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sha1(dst), dst) AS n FROM (SELECT DISTINCT url AS src,"
     " unnest(regexp_extract_all(html, '(?is)<a\\s+(?:[^>]*?\\s+)?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)) AS dst FROM pages)) WHERE n <= 3"
@@ -427,7 +319,7 @@ def link_sample_cap(spark, folder):
 
 # text and urls
 
-TERMS_SQL = "SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE w <> ''"
+TERMS_SQL = "SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE w <> ''"
 
 
 def _terms(spark, folder) -> DataFrame:
@@ -452,11 +344,6 @@ def spell_correct(spark, folder):
     return search.correct(_terms(spark, folder), MISSPELT)
 
 
-@query()
-def porter_stem(spark, folder):
-    return stemmed_vocabulary(_terms(spark, folder))
-
-
 ANCHORS = "SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s+(?:[^>]*?\\s+)?href=\"([^\"]*)\"[^>]*>(.*?)</a>', {})) AS {} FROM pages"
 
 
@@ -581,11 +468,6 @@ def url_encode(spark, folder):
     return load(spark, folder, "pages").select("url", F.url_encode("url").alias("encoded"))
 
 
-@query()
-def letter_hash(spark, folder):
-    return load(spark, folder, "nation").select("n_name", letter_hash_column(F.col("n_name")).alias("hash"))
-
-
 # graphs
 
 
@@ -626,35 +508,131 @@ def pagerank_change(spark, folder):
     return both.agg(F.round(F.max(change), 6).alias("largest"), F.round(F.avg((change <= 0.05).cast("double")) * 100, 4).alias("share"))
 
 
-@query()
-def pagerank_converged(spark, folder):
-    edges = _edges(spark, folder)
-    return graph.pagerank(_nodes(edges), edges, 0.01)[0].select("node", F.round("rank", 4).alias("rank"))
+@query(f"SELECT DISTINCT url AS src, {PROTOCOL} || '://' || {HOST} || ':' || {PORT} || regexp_replace(href, '#.*$', '') AS dst FROM ({LINK}) WHERE href LIKE '/%' AND NOT regexp_matches(lower(href), '\\.(jpg|jpeg|gif|png|txt)$')")
+def link_graph(spark, folder):
+    return graph.link_graph(load(spark, folder, "pages").select("url", "html"))
+
+
+# what the store and the bags answer
+
+
+def _store(spark, folder, *names: str) -> tables.TableStore:
+    """A store whose tables are views of the given ones."""
+    store = tables.TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for name in names:
+        store.save(name, load(spark, folder, name))
+    return store
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus AS cell, true AS is_there, CAST(NULL AS VARCHAR) AS unknown FROM orders WHERE o_orderkey = 42")
+def point_get(spark, folder):
+    """A row by its key, one of its cells, and a cell that isn't there."""
+    store, key = _store(spark, folder, "orders"), "o_orderkey"
+    cell, unknown = store.get("orders", 42, "o_orderstatus", key), store.get("orders", -1, "o_orderstatus", key)
+    row = store.get_row("orders", 42, key).select("o_orderkey", "o_custkey", "o_totalprice")
+    return row.select("*", F.lit(cell).alias("cell"), F.lit(store.exists_row("orders", 42, key)).alias("is_there"), F.lit(unknown).cast("string").alias("unknown"))
+
+
+@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 45)")
+def exists_rows(spark, folder):
+    store = tables.TableStore(spark, shared_folder(spark))
+    store.save("large", load(spark, folder, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")))
+    return store.exists_rows("large", load(spark, folder, "orders"), "o_orderkey")
 
 
 @query(
-    f"WITH RECURSIVE {EDGES}, f AS (SELECT 'p1' AS url, 0 AS depth UNION SELECT e.dst, f.depth + 1 FROM f JOIN e ON f.url = e.src WHERE f.depth < 3)"
-    " SELECT url, min(depth) AS depth FROM f GROUP BY 1"
+    "SELECT key, event_id, value FROM (SELECT concat_ws('|', user_id, event_type) AS key, event_id, value,"
+    " row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
 )
-def crawl_frontier(spark, folder):
-    seeds = spark.createDataFrame([("p1",)], "url string")
-    return crawl.frontier(seeds, _edges(spark, folder), 3)
+def upsert_latest_wins(spark, folder):
+    """The events of even and of odd number are put one after the other; the later time wins."""
+    events = load(spark, folder, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), "event_id", "value", "ts")
+    last = lambda rows: tables.latest_rows(rows, "key", F.desc("ts"), F.desc("event_id"))
+    early, late = last(events.where("event_id % 2 = 0")), last(events.where("event_id % 2 = 1"))
+    store = tables.TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.put("pt-latest", early)
+    newer = late.join(early.select("key", F.struct("ts", "event_id").alias("before")), "key", "left").where(F.col("before").isNull() | (F.struct("ts", "event_id") > F.col("before")))
+    return store.put("pt-latest", newer.drop("before")).select("key", "event_id", "value")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
+def table_counts(spark, folder):
+    store = _store(spark, folder, *TABLES)
+    return spark.createDataFrame([(name, store.count(name)) for name in store.names()], "name string, n long")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def anti_lookup(spark, folder):
+    orders = load(spark, folder, "orders").where("o_totalprice > 200000")
+    return load(spark, folder, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def rdd_count(spark, folder):
+    return spark.createDataFrame([(Dataset.from_table(load(spark, folder, "lineitem"), F.col("l_orderkey")).count(),)], "n long")
+
+
+@query("SELECT round(sum(l_quantity), 2) AS total FROM lineitem")
+def fold_sum(spark, folder):
+    return spark.createDataFrame([(round(Dataset.from_table(load(spark, folder, "lineitem"), F.col("l_quantity")).fold_sum(), 2),)], "total double")
+
+
+@query("SELECT max(l_extendedprice) AS top FROM lineitem")
+def fold_max(spark, folder):
+    prices = Dataset.from_table(load(spark, folder, "lineitem"), F.col("l_extendedprice"))
+    top = prices.fold(F.lit("0"), lambda a, b: F.greatest(a.cast("double"), b.cast("double")).cast("string"))
+    return spark.createDataFrame([(float(top),)], "top double")
+
+
+@query("SELECT c_mktsegment AS key, CAST(sum(c_custkey) AS VARCHAR) AS value FROM customer GROUP BY 1")
+def fold_by_key(spark, folder):
+    pairs = PairDataset(load(spark, folder, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").cast("string").alias("value")))
+    return pairs.fold_by_key(F.lit("0"), lambda a, b: (a.cast("long") + b.cast("long")).cast("string")).df
+
+
+@query("SELECT c_name AS value FROM customer ORDER BY c_name LIMIT 20")
+def take_sorted(spark, folder):
+    names = Dataset(Dataset.from_table(load(spark, folder, "customer"), F.col("c_name")).df.orderBy("value"))
+    return Dataset.parallelize(spark, names.take(20)).df
+
+
+@query(f"SELECT term, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS docs, sum(tf) AS n FROM ({POSTINGS}) GROUP BY 1")
+def inverted_index(spark, folder):
+    """Each word's documents and how often they have it together, from the built index."""
+    built = index.build(_docs(spark, folder), stems=False)
+    found = built.groupBy("term").agg(F.sort_array(F.collect_list("doc")).alias("docs"), F.sum("tf").alias("n"))
+    return found.select("term", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"), "n")
+
+
+@query(
+    "SELECT term, doc, tf FROM (SELECT term, doc, tf, row_number() OVER (PARTITION BY term, doc ORDER BY side) AS n FROM"
+    f" (SELECT *, 0 AS side FROM ({POSTINGS}) WHERE doc % 3 <> 1 UNION ALL SELECT *, 1 FROM ({POSTINGS}) WHERE doc % 3 <> 0)) WHERE n = 1"
+)
+def index_merge(spark, folder):
+    """Two indexes of all documents between them, which share a third, become one."""
+    part = lambda rule: index.postings(index.term_positions(_docs(spark, folder).where(rule))).select("term", "doc", "tf")
+    return index.merge(part("doc % 3 <> 0"), part("doc % 3 <> 1"))
+
+
+@query("SELECT url FROM pages WHERE page_id % 3 <> 0 UNION SELECT url FROM pages WHERE page_id % 3 <> 1")
+def frontier_union(spark, folder):
+    """Seeds and a saved frontier, all pages between them, which share a third."""
+    pages = load(spark, folder, "pages")
+    return crawl.start(pages.where("page_id % 3 <> 0"), pages.where("page_id % 3 <> 1"))
 
 
 @query(
     f"WITH RECURSIVE {EDGES}, f(url, depth) USING KEY (url) AS (SELECT 'p1', 0 UNION SELECT e.dst, min(f.depth + 1) FROM f JOIN e ON f.url = e.src"
     " WHERE e.dst NOT IN (SELECT url FROM recurring.f) GROUP BY 1) SELECT url, depth FROM f"
 )
-def crawl_frontier_all(spark, folder):
-    """The crawl until the frontier is empty."""
+def crawl_frontier(spark, folder):
+    """Everything that links reach from one seed."""
     return crawl.frontier(spark.createDataFrame([("p1",)], "url string"), _edges(spark, folder))
 
 
-@query(f"SELECT DISTINCT url AS src, {PROTOCOL} || '://' || {HOST} || ':' || {PORT} || regexp_replace(href, '#.*$', '') AS dst FROM ({LINK}) WHERE href LIKE '/%' AND NOT regexp_matches(lower(href), '\\.(jpg|jpeg|gif|png|txt)$')")
-def link_graph(spark, folder):
-    return graph.link_graph(load(spark, folder, "pages").select("url", "html"))
-
-
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked search with stems over the documents."""
     docs = _docs(spark, folder)

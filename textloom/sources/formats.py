@@ -48,6 +48,21 @@ def wide_rows(binary: DataFrame, column: str = "content") -> DataFrame:
     return binary.select(column).mapInArrow(parse, "key string, cells map<string,binary>")
 
 
+def wire_rows(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """content: the rows of each batch in the wire format, the named columns as cells; null cells are left out."""
+    import pyarrow as pa
+
+    def write(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                cells = {c: row[c].encode() for c in columns if row[c] is not None}
+                out.append(write_row(row[key], cells) + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["content"])
+
+    return rows.select(key, *columns).mapInArrow(write, "content binary")
+
+
 def line_set(spark: SparkSession, path: str) -> DataFrame:
     """Distinct lines of a text file as term."""
     return spark.read.text(path).select(F.col("value").alias("term")).distinct()

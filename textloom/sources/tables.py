@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 PERSISTENT = "pt-"
 PAGE_ROWS = 10
+#: Endings of a table on its way in and out.
+NEW, OLD = "~", "~~"
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "key", version: str | None = None) -> DataFrame:
@@ -73,7 +75,12 @@ class TableStore:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def exists(self, name: str) -> bool:
-        return self._files().exists(self._path(name)) if name.startswith(PERSISTENT) else name in self._views
+        if not name.startswith(PERSISTENT):
+            return name in self._views
+        files = self._files()
+        if not files.exists(self._path(name)) and files.exists(self._path(name + OLD)):
+            files.rename(self._path(name + OLD), self._path(name))  # a driver was lost while it replaced the table
+        return files.exists(self._path(name))
 
     def names(self) -> list[str]:
         files = self._files()
@@ -91,12 +98,13 @@ class TableStore:
         if not name.startswith(PERSISTENT):
             self._views[name] = rows
             return rows
-        fresh = f"{self.root}/{name}~"
-        rows.write.mode("overwrite").parquet(fresh)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}{NEW}")
         files = self._files()
-        if files.exists(self._path(name)):
-            files.delete(self._path(name), True)
-        files.rename(self._path(name + "~"), self._path(name))
+        files.delete(self._path(name + OLD), True)
+        if files.exists(self._path(name)):  # the old table is there until the new one has its name
+            files.rename(self._path(name), self._path(name + OLD))
+        files.rename(self._path(name + NEW), self._path(name))
+        files.delete(self._path(name + OLD), True)
         return self.read(name)
 
     def put(self, name: str, delta: DataFrame, key: str = "key") -> DataFrame:
@@ -119,6 +127,10 @@ class TableStore:
     def exists_row(self, name: str, row: str, key: str = "key") -> bool:
         return not self.get_row(name, row, key).isEmpty()
 
+    def exists_rows(self, name: str, keys: DataFrame, key: str = "key") -> DataFrame:
+        """Those of the keys (a column of the same name) that the table has."""
+        return keys.select(key).join(self.read(name), key, "left_semi")
+
     def count(self, name: str) -> int:
         return self.read(name).count() if self.exists(name) else 0
 
