@@ -6,9 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import dataset
 from textloom.operators.dataset import Dataset, Destroyed, PairDataset
 
-LINES = ["hi", "hi", "whats up", "whats up", "hi", "bye", "gm", "hi", "hi", "whats up", "whats whats whats whats", "hi hi hi"]
+LINES = ["red", "red blue", "green", "blue blue blue", "red", "green red", "violet", "green"]
 
 
 def test_collect_keeps_duplicates(spark):
@@ -19,7 +20,7 @@ def test_collect_keeps_duplicates(spark):
 def test_word_count(spark):
     words = Dataset.parallelize(spark, LINES).flat_map(lambda v: F.split(v, " "))
     counts = words.map_to_pair(lambda v: v, lambda v: F.lit("1")).aggregate_by_key(lambda v: F.sum(v.cast("int")))
-    assert dict(counts.collect()) == {"hi": 8, "gm": 1, "bye": 1, "whats": 7, "up": 3}
+    assert dict(counts.collect()) == {"red": 4, "blue": 4, "green": 3, "violet": 1}
 
 
 def test_python_flat_map_and_partitions(spark):
@@ -29,9 +30,9 @@ def test_python_flat_map_and_partitions(spark):
 
 
 def test_intersection(spark):
-    left = Dataset.parallelize(spark, "Pune Mumbai Seattle philadelphia Houston chicago".split())
-    right = Dataset.parallelize(spark, "Pune Delhi NewYorkCity philadelphia Austin Chicago".split())
-    assert sorted(left.intersection(right).collect()) == ["Pune", "philadelphia"]
+    left = Dataset.parallelize(spark, "oak Ash elm fir yew pine".split())
+    right = Dataset.parallelize(spark, "oak ash elm beech yew Pine".split())
+    assert sorted(left.intersection(right).collect()) == ["elm", "oak", "yew"]
 
 
 def test_intersection_of_values_with_spaces(spark):
@@ -40,16 +41,19 @@ def test_intersection_of_values_with_spaces(spark):
 
 
 def test_group_by(spark):
-    names = "Pune pune Mumbai Chicago Seattle seattle Chicaro098 seattle123 Mumhai".split()
-    found = dict(Dataset.parallelize(spark, names).group_by(lambda v: F.substring(v, 1, 3)).collect())
-    assert found == {"Mum": "Mumbai,Mumhai", "Chi": "Chicago,Chicaro098", "Pun": "Pune", "Sea": "Seattle", "pun": "pune", "sea": "seattle,seattle123"}
+    trees = "Maple maple Mahogany Cedar Cherry cedar1 Cedrus Alder alder22".split()
+    found = dict(Dataset.parallelize(spark, trees).group_by(lambda v: F.substring(v, 1, 3)).collect())
+    assert found == {"Map": "Maple", "map": "maple", "Mah": "Mahogany", "Ced": "Cedar,Cedrus", "Che": "Cherry", "ced": "cedar1", "Ald": "Alder", "ald": "alder22"}
 
 
-def test_fold(spark):
+def test_fold(spark, monkeypatch):
     digits = [str(random.Random(3).randint(0, 9)) for _ in range(25)]
     data = Dataset.parallelize(spark, digits)
     total = data.fold(F.lit("0"), lambda a, b: (a.cast("int") + b.cast("int")).cast("string"))
     assert int(total) == sum(map(int, digits)) == data.fold_sum()
+    many = Dataset(spark.range(0, 5000, 1, 7).selectExpr("cast(id as string) as value"))
+    monkeypatch.setattr(dataset, "FOLDED", 16)
+    assert many.fold(F.lit("0"), lambda a, b: (a.cast("int") + b.cast("int")).cast("string")) == str(5000 * 4999 // 2)
     assert Dataset.parallelize(spark, []).fold(F.lit("zero"), lambda a, b: F.concat(a, b)) == "zero"
 
 
@@ -106,8 +110,8 @@ def test_job_context(spark, tmp_path):
         context.store.save("words", context.parallelize(arguments).df.withColumnRenamed("value", "key"))
         context.set_concurrency_level(4)
         found = context.from_table("words", F.when(F.col("key") != "b", F.col("key")))
-        context.output("Worked, and the arguments are: " + ",".join(sorted(found.collect())))
+        context.output("arguments: " + ",".join(sorted(found.collect())))
 
-    assert Context.run(spark, str(tmp_path), job, ["c", "b", "a"]) == "Worked, and the arguments are: a,c"
+    assert Context.run(spark, str(tmp_path), job, ["c", "b", "a"]) == "arguments: a,c"
     with pytest.raises(ZeroDivisionError):
         Context.run(spark, str(tmp_path), lambda c, a: 1 / 0, [])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text, urls
-from textloom.functions.keys import decode_key, encode_key, letter_hash
+from textloom.functions.keys import decode_key, encode_key, letter_hash, letter_pair
 from textloom.functions.stem import stem, stemmed_vocabulary
 
 
@@ -74,6 +74,13 @@ def test_robots_agent_sections():
     assert urls.robots_rules("no rules here") == []
 
 
+def test_robots_rules_are_no_patterns(spark):
+    text = "User-agent: *\nDisallow: /a(b\nDisallow: /c+d[1]$\nDisallow: /x*(y)"
+    for path, allowed in (("/a(b/c", False), ("/ab", True), ("/c+d[1]$e", False), ("/ccd1", True), ("/x--(y)", False), ("/xy", True)):
+        assert one(spark, lambda p: urls.robots_allowed(p, urls.robots_rules(text)), path) is allowed
+        assert one(spark, urls.robots_allowed_by_text, text, path) is allowed
+
+
 def test_crawl_delay(spark):
     assert one(spark, urls.crawl_delay_ms, "Crawl-delay: 2\nx") == 2000
     assert one(spark, urls.crawl_delay_ms, "crawl-delay: soon") == 1000
@@ -88,8 +95,14 @@ def test_html(spark):
     assert one(spark, text.index_words, "a  \tb\t c") == ["a", None, "\tb\t", "c"]
 
 
+# The letters of the bytes of that digest, one by one.
+PAIRS = "mm wk ke ce te ga yi ci do ke lc ji qi cg lo ei zk zo hq am".split()
+
+
 def test_keys():
-    assert letter_hash("")[:2] == "kr" or len(letter_hash("")) == 40
+    # sha1 of "abc" is a9 99 3e 36 47 06 81 6a ba 3e 25 71 78 50 c2 6c 9c d0 d8 9d
+    assert letter_hash("abc") == "".join(PAIRS)
+    assert letter_pair(0) == "aa" and letter_pair(25) == "za" and letter_pair(26) == "ac" and letter_pair(255) == "vs"
     assert all(c.islower() for c in letter_hash("x"))
     assert encode_key("a/b é") == "a_2fb_20_e9" and decode_key("a_2fb_20_e9") == "a/b é"
 

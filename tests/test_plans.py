@@ -103,6 +103,18 @@ def test_crawl(spark):
     assert crawl.crawl(seeds, pages, rounds=1).count() == 1
 
 
+def test_crawl_waits_for_slow_hosts_and_prunes(spark):
+    a = lambda *links: "".join(f'<a href="{x}">x</a>' for x in links)
+    names = [f"/{k}" for k in range(8)]
+    pages = spark.createDataFrame([("http://s.com:80/", a(*names)), *[(f"http://s.com:80{n}", n) for n in names]], "url string, html string")
+    seeds = spark.createDataFrame([("http://s.com",)], "url string")
+    robots = spark.createDataFrame([("s.com", "User-agent: *\nCrawl-delay: 2")], "host string, robots string")
+    found = {r["url"]: r["depth"] for r in crawl.crawl(seeds, pages, robots, round_ms=4000).collect()}
+    assert len(found) == 9 and sorted(found.values()) == [0, 1, 1, 2, 2, 3, 3, 4, 4]  # two pages a round
+    assert crawl.crawl(seeds, pages, most_waiting=10).count() == 9 and crawl.crawl(seeds, pages, most_waiting=7).count() == 1
+    assert sorted(r["url"] for r in crawl.start(seeds, pages.select("url")).collect())[0] == "http://s.com"
+
+
 def test_redirect_chains(spark):
     hops = spark.createDataFrame([(str(k), str(k + 1)) for k in range(1, 6)], "url string, target string")
     urls = spark.createDataFrame([("1",), ("3",), ("9",)], "url string")

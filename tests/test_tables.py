@@ -51,6 +51,15 @@ def test_rename_and_delete(spark, store):
         store.read("pt-x")
 
 
+def test_a_table_survives_a_driver_lost_while_saving(spark, store, tmp_path):
+    table = spark.createDataFrame([("k", "1")], "key string, a string")
+    store.save("pt-a", table)
+    store.save("pt-a", store.read("pt-a").withColumn("a", F.lit("2")))
+    assert store.get("pt-a", "k", "a") == "2" and [x.name for x in tmp_path.iterdir()] == ["pt-a"]
+    (tmp_path / "pt-a").rename(tmp_path / "pt-a~~")  # lost between the two renamings
+    assert store.exists("pt-a") and store.get("pt-a", "k", "a") == "2" and store.names() == ["pt-a"]
+
+
 def test_scan_and_pages(spark):
     table = spark.createDataFrame([(f"k{n:02d}",) for n in range(25)], "key string")
     assert [r[0] for r in tables.scan(table, "k03", "k06").collect()] == ["k03", "k04", "k05"]
