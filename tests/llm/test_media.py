@@ -76,3 +76,28 @@ def test_query(odd, none, small):
     found = media.clips(stored).orderBy("clip").collect()
     assert found[0]["start_ms"] == 0 and all(a["end_ms"] == b["start_ms"] for a, b in zip(found, found[1:]))
     assert media.clips(media.store(none)).count() == 0
+
+
+def gray_frame(levels):
+    """A baseline frame of one component whose 8x8 blocks have these DC steps, with tables of its own: twelve DC codes
+    of four bits, one AC code for the end of a block, quantisers of 8."""
+    bits, last = "", 0
+    for level in levels:
+        diff, last = level - last, level
+        size = abs(diff).bit_length()
+        bits += f"{size:04b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "") + "0"
+    bits += "1" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    part = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+    tables = bytes([0, 0, 0, 0, 12, *[0] * 12, *range(12), 0x10, 1, *[0] * 15, 0])
+    sizes = struct.pack(">BHHB", 8, 8, 8 * len(levels), 1) + bytes([1, 0x11, 0])
+    return b"\xff\xd8" + part(0xDB, bytes([0, *[8] * 64])) + part(0xC0, sizes) + part(0xC4, tables) + part(0xDA, bytes([1, 1, 0, 0, 63, 0])) + data + b"\xff\xd9"
+
+
+def test_files_of_other_writers(spark):
+    frames = [gray_frame([60 + k % 2] * 6) for k in range(5)] + [gray_frame([-80, -70] * 3)] * 4
+    assert (media.decode_general(frames[-1])[:, 0, 0] == [-80, -70] * 3).all() and media.luma_quantisers(frames[0]).tolist() == [8] * 64
+    file = media._avi(frames, 0).replace(b"strd", b"junk")
+    assert media.timed(file) == ([(0, 5), (5, 9)], 40)
+    rows = media.clips(spark.createDataFrame([(1, bytearray(file)), (2, bytearray(media.write_avi([PAYLOADS[3]])[0]))], "doc_id long, avi binary")).collect()
+    assert [tuple(r) for r in rows if r["doc_id"] == 1] == [(1, 0, 0, 200, 5), (1, 1, 200, 360, 4)] and any(r["doc_id"] == 2 for r in rows)

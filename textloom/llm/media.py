@@ -6,8 +6,9 @@ one Huffman symbol, of one bit, so a unit of 3 blocks (192 bytes) takes 216 byte
 restart markers after each unit keep the DC predictions at zero. Frames are 16x16, 4:4:4, every one an
 intra frame. The stream header's data chunk holds the payload's length.
 
-Decoding is that of baseline JPEG with integer arithmetic; frames with other Huffman tables than the
-writer's go through a general decoder. Shots are cut where the difference of two luma histograms
+Decoding is that of baseline JPEG with integer arithmetic. ``clips`` also takes files of other writers: frames
+that aren't this writer's go through a general decoder of baseline frames without subsampling (others are an
+error), and their histograms are scaled to this writer's frame size. Shots are cut where the difference of two luma histograms
 exceeds what the frames before it lead to expect.
 
 Defined cases: a null or empty text is a payload of 192 spaces; long texts give many frames; equal
@@ -307,6 +308,38 @@ def examine(files: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]], int]
     return out
 
 
+def luma_quantisers(frame: bytes) -> np.ndarray:
+    """The quantisers of the first component, in zigzag order."""
+    at, tables, wanted = 2, {}, 0
+    while frame[at + 1] != 0xDA:
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body = frame[at + 4 : at + 2 + size]
+        if marker == 0xDB:
+            p = 0
+            while p < len(body):
+                wide = body[p] >> 4
+                tables[body[p] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, p + 1).astype(np.int64)
+                p += 129 if wide else 65
+        elif marker == 0xC0:
+            wanted = body[8]
+        at += 2 + size
+    return tables[wanted]
+
+
+def timed(file: bytes) -> tuple[list[tuple[int, int]], int]:
+    """Clips of any file as (first, after last) frames, and milliseconds per frame."""
+    frames, _, ms = read_riff(file)
+    try:
+        return examine([file])[0][1], ms
+    except (ValueError, TypeError):  # another writer's frames or header
+        hists = []
+        for frame in frames:
+            luma = pixels(decode_general(frame)[:, 0], luma_quantisers(frame)) >> (8 - BINS.bit_length() + 1)
+            hists.append(np.bincount(luma.ravel(), minlength=BINS) * SIDE * SIDE // luma.size)
+        starts = shots(np.array(hists)) if hists else []
+        return list(zip(starts, [*starts[1:], len(frames)])), ms
+
+
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and the AVI file of each document's payload."""
 
@@ -325,8 +358,9 @@ def clips(media: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             rows = []
-            for doc_id, (_, found, _) in zip(batch.column("doc_id").to_pylist(), examine(batch.column("avi").to_pylist()) if batch.num_rows else []):
-                rows += [(doc_id, k, a * FRAME_MS, b * FRAME_MS, b - a) for k, (a, b) in enumerate(found)]
+            for doc_id, file in zip(batch.column("doc_id").to_pylist(), batch.column("avi").to_pylist()):
+                found, ms = timed(file)
+                rows += [(doc_id, k, a * ms, b * ms, b - a) for k, (a, b) in enumerate(found)]
             names = ["doc_id", "clip", "start_ms", "end_ms", "frames"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=names)
 
