@@ -18,6 +18,7 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.98
     good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
     assert np.mean([[g > b for b in bad] for g in good[:200]]) > 0.99
+    assert len({round(s, 6) for s in good}) > 0.9 * len(set(good))  # they rank
 
 
 def test_scores_are_log_density_differences():
@@ -33,7 +34,13 @@ def test_scores_are_log_density_differences():
         mixed = (1 - quality.ROUND) * mixed + quality.ROUND * np.trace(mixed) / quality.N * np.eye(quality.N)
         z = (at - x[c].mean(0)) / scale
         value[c] = -0.5 * np.einsum("ni,ij,nj->n", z, np.linalg.inv(mixed), z) - 0.5 * np.linalg.slogdet(mixed)[1]
-    assert model.scores(at) == pytest.approx(1 / (1 + np.exp(value[0] - value[1])), abs=1e-9)
+    assert model.differences(at) == pytest.approx(value[1] - value[0], abs=1e-9)
+    plain = 1 / (1 + np.exp(value[0] - value[1]))
+    scores = model.scores(at)
+    assert ((scores >= quality.THRESHOLD) == (plain >= quality.THRESHOLD)).all()
+    assert (np.argsort(scores) == np.argsort(value[1] - value[0])).all() and model.temper > 1
+    own = {c: model.differences(v).mean() for c, v in x.items()}  # what the moments alone let expect
+    assert model.temper == pytest.approx(min(map(abs, own.values())) / 4)
 
 
 def test_labels_of_the_held_out_fold_do_not_train(spark, small, folder):

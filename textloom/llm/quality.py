@@ -3,7 +3,9 @@
 Each class has a Gaussian over the same statistics of the text. Its covariance is shrunk towards the
 pooled one and towards a multiple of the identity, so that few labels or degenerate statistics can't
 make it singular. The score is the logistic of the log-density difference: two Mahalanobis distances
-by cached inverse Cholesky factors, the log determinants and the class priors.
+by cached inverse Cholesky factors, the log determinants and the class priors. Differences are far larger
+than a logistic can tell apart, so they are tempered around the threshold, which decides as it did: divided
+by a quarter of the smaller class's expected difference. Scores then rank documents.
 
 Labels come only from rows whose crc32 of the doc_id as text leaves a remainder other than 0 by 5.
 All labelled rows are used: sums and cross products are added up per class by Spark, and only those
@@ -71,7 +73,7 @@ class Discriminant:
     def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> None:
         self.counts = {c: moments[c][0] if c in moments else 0.0 for c in (0, 1)}
         self.share = (self.counts[1] + 1) / (sum(self.counts.values()) + 2)
-        self.parts = None
+        self.parts, self.temper = None, 1.0
         if min(self.counts.values()) < 2:
             return
         means, scatter = {}, {}
@@ -89,11 +91,22 @@ class Discriminant:
             factor = np.linalg.cholesky(mixed)
             self.parts[c] = means[c], np.linalg.inv(factor) / scale[None, :], -np.log(np.diag(factor)).sum() + np.log(self.counts[c])
 
+        expected = []
+        for c in (0, 1):
+            far = {k: ((factor @ (means[c] - mean)) ** 2).sum() + np.trace(factor @ (scatter[c] / self.counts[c]) @ factor.T) for k, (mean, factor, _) in self.parts.items()}
+            expected.append(abs(self.parts[1][2] - self.parts[0][2] - 0.5 * (far[1] - far[0])))
+        self.temper = max(1.0, min(expected) / 4)
+
+    def differences(self, stats: np.ndarray) -> np.ndarray:
+        """Log-density differences, class 1 against class 0."""
+        density = {c: base - 0.5 * (((stats - mean) @ factor.T) ** 2).sum(axis=1) for c, (mean, factor, base) in self.parts.items()}
+        return density[1] - density[0]
+
     def scores(self, stats: np.ndarray) -> np.ndarray:
         if self.parts is None:
             return np.full(len(stats), self.share)
-        density = {c: base - 0.5 * (((stats - mean) @ factor.T) ** 2).sum(axis=1) for c, (mean, factor, base) in self.parts.items()}
-        return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+        edge = np.log(THRESHOLD / (1 - THRESHOLD))
+        return 1 / (1 + np.exp(-np.clip((self.differences(stats) - edge) / self.temper + edge, -500, 500)))
 
 
 def remainder() -> F.Column:
