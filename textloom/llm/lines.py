@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, slices, unused
+from textloom.llm.common import cut, join_by_weight, slices, unused
 from textloom.llm.words import mixed, word_hashes
 
 NEAR_WORDS, NEAR_CHARS, EDITS = 8, 20, 1
@@ -300,8 +300,9 @@ def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, near_chars: int
     firsts = cut(firsts.select("h1", "h2", "first.*", "n", "k1", "k2", "k3", "k4"), "firsts")
     near = near_lines(docs, firsts, near_words, near_chars, edits)
     told = firsts.select("h1", "h2", "n", F.struct("ord", "row", "line").alias("first")).join(near, ["h1", "h2"], "left")
-    told = told.where("n > 1 or earlier is not null").drop("n")
-    joined = rows.select("doc_id", "row", "line", "h1", "h2").join(told, ["h1", "h2"])
+    told = cut(told.where("n > 1 or earlier is not null"), "told")
+    # a line that very many documents have stays where it is
+    joined = join_by_weight(rows.select("doc_id", "row", "line", "h1", "h2"), told, ["h1", "h2"], "n", rows.count())
     gone = joined.where(F.col("earlier").isNotNull() | (place != F.col("first")))
     earlier = F.coalesce("earlier", "first.ord")
     return gone.select("doc_id", "row", "line", F.when(earlier != LAST, earlier).alias("earlier"))
