@@ -119,3 +119,11 @@ def test_redirect_chains(spark):
     hops = spark.createDataFrame([(str(k), str(k + 1)) for k in range(1, 6)], "url string, target string")
     urls = spark.createDataFrame([("1",), ("3",), ("9",)], "url string")
     assert sorted(r["url"] for r in crawl.resolve_redirects(urls, hops).collect()) == ["6", "9"]
+
+
+def test_an_index_without_stems_deals_texts_once(spark):
+    docs = spark.createDataFrame(CORPUS, "doc string, text string")
+    plan = index.build(docs, stems=False)._jdf.queryExecution().optimizedPlan().toString()
+    built = index.build(docs, stems=False)
+    physical = built._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1 and plan.count("Generate") == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.stem import stemmed_vocabulary
@@ -32,10 +32,14 @@ def norms(post: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, words: Column | None = None, stems: bool = True) -> DataFrame:
-    """term, doc, tf, positions, l2 of documents (doc, text)."""
-    positions = term_positions(docs, words)
+    """term, doc, tf, positions, l2 of documents (doc, text).
+
+    Texts are dealt by document once; without stems the words are then counted, and norms added up, where they are.
+    """
+    positions = term_positions(docs.repartition("doc"), words)
     post = postings(with_stems(positions) if stems else positions)
-    return post.join(norms(post), "doc").select("term", "doc", "tf", "positions", "l2")
+    l2 = F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double")).over(Window.partitionBy("doc")))
+    return post.select("term", "doc", "tf", "positions", l2.alias("l2"))
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
