@@ -75,6 +75,12 @@ def test_pages_without_telling_names(field, page):
     assert hb.main_text(field, page) == "\n".join(PROSE)
 
 
+def test_very_deep_pages():
+    deep = hb.blocks("<div>x" * 30_000 + "</div>" * 30_000 + "<p>y</p>")
+    assert [b.text for b in deep] == ["x"] * 30_000 + ["y"] and max(len(b.path) for b in deep) == hb.DEEPEST
+    assert deep[-1].path == ("p",)
+
+
 def test_malformed_pages_take_linear_time(field):
     n = 100_000
     for page in ("<" * n, "<a " * n, "<a b='" * n, "<script" * n, "<svg>" * n, "</p" * n, '<a href="x' * n, "&" * n, "<!--" * n, '<a b="<">' * n, "<a x='\">" * n, "<p>" * 20_000 + "x"):

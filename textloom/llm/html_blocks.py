@@ -16,7 +16,8 @@ thousand weights go out.
 
 Defined cases: a null page is empty; a page without text, or with none that is content, gives an empty
 string; unclosed, stray and nested elements close as browsers close them, roughly; tags end as the HTML
-standard has it (a quote counts only behind "="), but a quote that never closes ends with its tag; scripts,
+standard has it (a quote counts only behind "="), but a quote that never closes ends with its tag; elements count
+as ancestors to a depth of 100; scripts,
 styles, comments and unfinished tags give no text; a frame, graphic or template without its closing tag
 swallows nothing; repeated rows and further columns pass.
 """
@@ -54,6 +55,8 @@ RAW = frozenset("script style textarea iframe noscript template svg math noembed
 #: Those that swallow the rest of the page if they aren't closed, as browsers have it.
 OPEN_ENDED = frozenset("script style".split())
 CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+#: Elements nested deeper than this don't count as ancestors: a page that never closes them stays linear.
+DEEPEST = 100
 #: Elements that a start tag of the same kind, or of a block for p, closes.
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 SCOPES = frozenset("article aside body div footer form header main nav section table td th blockquote figure html".split())
@@ -104,6 +107,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     lost: set[str] = set()
     unclosed: set[str] = set()
+    beyond: Counter = Counter()  # open elements too deep to be kept
     links, made, at = 0, 0, 0
 
     def flush() -> None:
@@ -121,6 +125,7 @@ def blocks(page: str) -> list[Block]:
 
     def cut_to(k: int) -> None:
         del names[k:], steps[k:], numbers[k:]
+        beyond.clear()  # they were within what is closed now
 
     while at < len(page):
         if found := ORDINARY.match(page, at):
@@ -166,7 +171,11 @@ def blocks(page: str) -> list[Block]:
             attributes = page[name.end() : end - 1]
         at = end
         if closing:
-            if tag in names:
+            if beyond[tag]:
+                beyond[tag] -= 1
+                if tag not in INLINE:
+                    flush()
+            elif tag in names:
                 inline = tag in INLINE
                 if not inline:
                     flush()
@@ -208,7 +217,11 @@ def blocks(page: str) -> list[Block]:
                     break
             if tag in ("body", "frameset") and "head" in names:
                 cut_to(names.index("head"))
-        if not attributes.endswith("/"):
+        if attributes.endswith("/"):
+            continue
+        if len(names) >= DEEPEST:
+            beyond[tag] += 1
+        else:
             names.append(tag)
             numbers.append(made)
             made += 1
