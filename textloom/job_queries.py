@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import urls
 from textloom.functions.keys import key_column, letter_hash_column
 from textloom.functions.stem import stemmed_vocabulary
-from textloom.lineage import shared_folder
+from textloom.lineage import checkpointed, shared_folder
 from textloom.operators.context import Context
 from textloom.operators.dataset import Dataset, Destroyed, PairDataset
 from textloom.plans import crawl, graph, index, search
@@ -380,8 +380,9 @@ SITE_SQL = (
 )
 def crawl_site(spark, folder):
     """A whole crawl until nothing is left: links capped by page, robots, a redirect, content seen before."""
-    pages = _site(spark, folder)
+    pages = checkpointed(_site(spark, folder))  # stored pages, as a crawl has them
     hosts = _nodes(_edges(spark, folder)).where("node like 'p3%'").select(F.concat("node", F.lit(".test")).alias("host"), F.lit("User-agent: *\nDisallow: /n").alias("robots"))
+    hosts = checkpointed(hosts)
     moved = _rows(spark, [(SITE.format("s10"), SITE.format("p2"))], "url string, target string")
     return crawl.crawl(_rows(spark, [("http://p1.test/n",)], "url string"), pages, hosts, moved)
 

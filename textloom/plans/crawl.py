@@ -153,15 +153,14 @@ def crawl(
             on_time = rested & (F.col("nth") <= F.greatest(F.lit(1), F.floor(F.lit(round_ms) / delay)))
             now = checkpointed(now)
             waiting, now = waiting.unionByName(now.where(~on_time).select("url")), now.where(on_time)
-        fetched = now.select("url").join(pages, "url").withColumn("depth", F.lit(depth))
-        found = page_links(fetched).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
-        fresh = checkpointed(fetched)
+        fresh = checkpointed(now.select("url").join(pages, "url").withColumn("depth", F.lit(depth)))
         stored = fresh if stored is None else stored.unionByName(fresh)
-        found = checkpointed(found)
-        front = found.unionByName(waiting)
+        found = checkpointed(page_links(fresh).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti"))
+        seen, depth, front = seen.unionByName(found), depth + 1, found
+        if defer or round_ms is not None:
+            front = checkpointed(found.unionByName(waiting))
         if most_waiting is not None:
-            front = prune(front, most_waiting, most_waiting // 10)
-        seen, front, depth = seen.unionByName(found), checkpointed(front), depth + 1
+            front = checkpointed(prune(front, most_waiting, most_waiting // 10))
     if stored is None:
         stored = front.join(pages, "url").withColumn("depth", F.lit(0))
     order = stored.withColumn("order", F.struct("depth", "url"))
