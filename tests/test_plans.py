@@ -127,3 +127,48 @@ def test_an_index_without_stems_deals_texts_once(spark):
     built = index.build(docs, stems=False)
     physical = built._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange") == 1 and plan.count("Generate") == 1
+
+
+def test_counting_needs_no_rows_of_words(spark):
+    """Words are counted where their documents lie: with stems, too, only texts are dealt, and nothing is sorted by word."""
+    docs = spark.createDataFrame(CORPUS, "doc string, text string")
+    for built in (index.build(docs), index.build(docs, stems=False, only=["figs"])):
+        physical = built._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("Exchange") == 1 and physical.count("Sort ") == 1 and "Window" not in physical and "Aggregate" not in physical
+
+
+def test_build_against_plain_python(spark, monkeypatch):
+    rows = [(k % 7, text) for k, text in enumerate(["ones on ones", "", " \x01 one  on", None, "ü ü\n x", "running runs run", "x " * 300, "ones", "on one", "\t", "x x"])]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    for stems in (False, True):
+        places = {}
+        for doc, text in rows:
+            for at, word in enumerate((text or "").split(" "), 1):
+                if word.strip("".join(map(chr, range(33)))):
+                    for term in {word, search.stem(word)} if stems else {word}:
+                        places.setdefault((doc, term), []).append(at)
+        squares = {}
+        for (doc, _), found in places.items():
+            squares[doc] = squares.get(doc, 0) + len(found) ** 2
+        expected = {key: (len(found), sorted(found), pytest.approx(squares[key[0]] ** 0.5)) for key, found in places.items()}
+        built = index.build(docs, stems=stems).collect()
+        assert len(built) == len(expected) and {(r["doc"], r["term"]): (r["tf"], r["positions"], r["l2"]) for r in built} == expected
+        some = index.build(docs, stems=stems, only=["on", "x"]).collect()
+        assert {(r["doc"], r["term"]): (r["tf"], r["positions"], r["l2"]) for r in some} == {k: v for k, v in expected.items() if k[1] in ("on", "x")}
+        lists = {r["term"]: (r["docs"], r["n"]) for r in index.document_lists(docs, stems=stems).collect()}
+        assert lists == {t: (sorted(d for d, u in places if u == t), sum(len(f) for (_, u), f in places.items() if u == t)) for _, t in places}
+    cut = index.build(docs.limit(1), words=F.array(F.lit("b"), F.lit(None).cast("string"), F.lit("b")), stems=False).collect()
+    assert [(r["term"], r["tf"], r["positions"]) for r in cut] == [("b", 2, [1, 3])]
+
+
+def test_documents_stay_whole_between_batches():
+    import pyarrow as pa
+
+    from textloom.functions.counts import whole_documents
+
+    kinds = pa.schema([("doc", pa.int64()), ("words", pa.string())])
+    batches = [pa.RecordBatch.from_pydict({"doc": d, "words": ["abcdef"] * len(d)}, kinds) for d in ([1, 1, 2, 3], [3, 3, 3], [3, 4, 5], [])]
+    for limit in (1, 6, 13, 1000):
+        cut = [rows.column("doc").to_pylist() for rows in whole_documents(iter(batches), limit)]
+        assert sum(cut, []) == [1, 1, 2, 3, 3, 3, 3, 3, 4, 5]
+        assert all(not set(a) & set(b) for a, b in zip(cut, cut[1:]))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.counts import Counts, whole_documents
 from textloom.functions.stem import stemmed_vocabulary
 from textloom.functions.text import index_words
 
@@ -31,15 +35,37 @@ def norms(post: DataFrame) -> DataFrame:
     return post.groupBy("doc").agg(F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double"))).alias("l2"))
 
 
-def build(docs: DataFrame, words: Column | None = None, stems: bool = True) -> DataFrame:
-    """term, doc, tf, positions, l2 of documents (doc, text).
+def build(docs: DataFrame, words: Column | None = None, stems: bool = True, only: list[str] | None = None) -> DataFrame:
+    """term, doc, tf, positions, l2 of documents (doc, text); of the terms in `only`, where given, by the norms of all.
+
+    Texts are dealt by document once; words are then counted, and norms added up, document by document where they
+    are, so that no row of a word is sorted or dealt.
+    """
+    counted = _counted(docs, words, stems, only, by_term=False)
+    return counted.select("doc", "l2", F.inline("entries")).select("term", "doc", "tf", "positions", "l2")
+
+
+def document_lists(docs: DataFrame, words: Column | None = None, stems: bool = True) -> DataFrame:
+    """term, docs (ascending), n: the documents of each term and how often they have it together.
 
-    Texts are dealt by document once; without stems the words are then counted, and norms added up, where they are.
+    A task joins the documents of some megabytes of text before they are dealt by term.
     """
-    positions = term_positions(docs.repartition("doc"), words)
-    post = postings(with_stems(positions) if stems else positions)
-    l2 = F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double")).over(Window.partitionBy("doc")))
-    return post.select("term", "doc", "tf", "positions", l2.alias("l2"))
+    found = _counted(docs, words, stems, None, by_term=True).groupBy("term")
+    return found.agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("docs"), F.sum("n").alias("n"))
+
+
+def _counted(docs: DataFrame, words: Column | None, stems: bool, only: list[str] | None, by_term: bool) -> DataFrame:
+    dealt = docs.select("doc", F.col("text").alias("words") if words is None else words.alias("words")).repartition("doc").sortWithinPartitions("doc")
+    kind = docs.schema["doc"].dataType.simpleString()
+    entries = "array<struct<term: string, tf: bigint, positions: array<int>>>"
+    schema = f"term string, docs array<{kind}>, n bigint" if by_term else f"doc {kind}, l2 double, entries {entries}"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_documents(batches):
+            counts = Counts(rows, stems)
+            yield from counts.lists() if by_term else counts.documents(only)
+
+    return dealt.mapInArrow(count, schema)
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
