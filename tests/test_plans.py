@@ -172,3 +172,16 @@ def test_documents_stay_whole_between_batches():
         cut = [rows.column("doc").to_pylist() for rows in whole_documents(iter(batches), limit)]
         assert sum(cut, []) == [1, 1, 2, 3, 3, 3, 3, 3, 4, 5]
         assert all(not set(a) & set(b) for a, b in zip(cut, cut[1:]))
+
+
+def test_a_small_front_goes_to_the_pages(spark, monkeypatch):
+    """Stored pages aren't dealt for a small front; a large front gives the same crawl."""
+    pages = spark.createDataFrame([("http://s.com:80/", '<a href="/a">x</a><a href="/gone">x</a>'), ("http://s.com:80/a", "y")], "url string, html string")
+    seeds, found = spark.createDataFrame([("http://s.com",)], "url string"), []
+    sent = []
+    monkeypatch.setattr(crawl.F, "broadcast", lambda df, real=F.broadcast: sent.append(df) or real(df))
+    for most in (crawl.SMALL_FRONT, 0):
+        monkeypatch.setattr(crawl, "SMALL_FRONT", most)
+        found.append(sorted(map(tuple, crawl.crawl(seeds, pages).collect())))
+        assert len(sent) == 4  # two joins with pages in each of two rounds, none for a large front
+    assert found[0] == found[1] and [r[1] for r in found[0]] == [0, 1]
