@@ -161,6 +161,37 @@ def test_build_against_plain_python(spark, monkeypatch):
     assert [(r["term"], r["tf"], r["positions"]) for r in cut] == [("b", 2, [1, 3])]
 
 
+def test_a_stored_index_opens_to_the_same_rows(spark, tmp_path):
+    """Blocks, whatever the number of tasks, have every posting once, in order of term within a task, and are read by term."""
+    rows = [(k % 7, text) for k, text in enumerate(["ones on ones", "", " \x01 one  on", None, "running runs run", "x " * 300, "ones", "on one", "x x"])]
+    for docs in (spark.createDataFrame(rows, "doc long, text string"), spark.createDataFrame(CORPUS, "doc string, text string")):
+        whole = sorted(map(tuple, index.build(docs).collect()))
+        for n_bytes, tasks in ((0, 1), (2 * index.TASK_BYTES, 3)):
+            stored = index.blocks(docs, n_bytes)
+            assert stored.rdd.getNumPartitions() == tasks
+            assert all(part == sorted(part) for part in stored.select("term").rdd.map(lambda r: r["term"]).glom().collect())
+            assert sorted(map(tuple, index.opened(stored, "doc", "tf", "positions", "l2").collect())) == whole
+    assert index.blocks(docs.where("doc = 'none'"), 0).count() == 0
+    stored.write.options(**index.SMALL_PAGES).parquet(f"{tmp_path}/index")
+    found = index.opened(spark.read.parquet(f"{tmp_path}/index"), "doc", "tf").where(F.col("term").isin("guava", "figs"))
+    assert sorted(map(tuple, found.collect())) == [("figs", "2", 1), ("guava", "3", 2)]
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [figs,guava])" in scan and "ReadSchema: struct<term:string,doc:array<string>,tf:array<bigint>>" in scan
+
+
+def test_search_with_stems_deals_no_postings(spark, folder, monkeypatch):
+    """Of the index that it stores only texts are dealt, and every posting is in it."""
+    from textloom import job_queries
+    from textloom.sources.tables import TableStore
+
+    kept = []
+    monkeypatch.setattr(TableStore, "save", lambda self, name, rows, *options, real=TableStore.save: kept.append((rows, real(self, name, rows, *options))) or kept[-1][1])
+    assert job_queries.search_with_stems(spark, folder).count()
+    ((rows, stored),) = kept
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert index.opened(stored, "doc").count() == job_queries.index_with_stems(spark, folder).count()
+
+
 def test_documents_stay_whole_between_batches():
     import pyarrow as pa
 

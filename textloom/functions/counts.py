@@ -132,3 +132,19 @@ class Counts:
         docs = pa.ListArray.from_arrays(pa.array(np.append(row, len(code)), type=pa.int32()), self.docs.take(pa.array(self.first[doc])))
         n = pa.array(np.add.reduceat(self.tf[order], row), type=pa.int64())
         yield pa.RecordBatch.from_arrays([self.terms.take(pa.array(code[row])), docs, n], ["term", "docs", "n"])
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        """term, doc, tf, positions, l2: a row per term, whose lists have one value for each of its documents."""
+        if not len(self.doc):
+            return
+        squares = np.bincount(self.doc, weights=self.tf.astype(np.float64) ** 2, minlength=len(self.first))
+        order = np.argsort(self.code, kind="stable")
+        code, doc, tf = self.code[order], self.doc[order], self.tf[order]
+        row = np.flatnonzero(np.concatenate([[True], np.diff(code) != 0]))
+        starts = np.concatenate([[0], np.cumsum(tf)])
+        at = self.at[np.repeat(self.starts[:-1][order] - starts[:-1], tf) + np.arange(starts[-1])]
+        places = pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), pa.array(at, type=pa.int32()))
+        lists = [self.docs.take(pa.array(self.first[doc])), pa.array(tf, type=pa.int64()), places, pa.array(np.sqrt(squares)[doc])]
+        edges = pa.array(np.append(row, len(code)), type=pa.int32())
+        listed = [pa.ListArray.from_arrays(edges, values) for values in lists]
+        yield pa.RecordBatch.from_arrays([self.terms.take(pa.array(code[row])), *listed], ["term", "doc", "tf", "positions", "l2"])

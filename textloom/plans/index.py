@@ -12,6 +12,11 @@ from textloom.functions.counts import Counts, whole_documents
 from textloom.functions.stem import stemmed_vocabulary
 from textloom.functions.text import index_words
 
+#: Text of a task that sorts blocks by term. The sort takes some seventeen times this.
+TASK_BYTES = 16 << 20
+#: Writer's options for blocks: pages of few terms, so that a reader passes over most of a file.
+SMALL_PAGES = {"parquet.page.row.count.limit": "2000"}
+
 
 def term_positions(docs: DataFrame, words: Column | None = None) -> DataFrame:
     """doc, term, position (from 1) for every word; blank words count but give no row."""
@@ -41,7 +46,7 @@ def build(docs: DataFrame, words: Column | None = None, stems: bool = True, only
     Texts are dealt by document once; words are then counted, and norms added up, document by document where they
     are, so that no row of a word is sorted or dealt.
     """
-    counted = _counted(docs, words, stems, only, by_term=False)
+    counted = _counted(docs, words, stems, "documents", only)
     return counted.select("doc", "l2", F.inline("entries")).select("term", "doc", "tf", "positions", "l2")
 
 
@@ -50,20 +55,39 @@ def document_lists(docs: DataFrame, words: Column | None = None, stems: bool = T
 
     A task joins the documents of some megabytes of text before they are dealt by term.
     """
-    found = _counted(docs, words, stems, None, by_term=True).groupBy("term")
+    found = _counted(docs, words, stems, "lists").groupBy("term")
     return found.agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("docs"), F.sum("n").alias("n"))
 
 
-def _counted(docs: DataFrame, words: Column | None, stems: bool, only: list[str] | None, by_term: bool) -> DataFrame:
-    dealt = docs.select("doc", F.col("text").alias("words") if words is None else words.alias("words")).repartition("doc").sortWithinPartitions("doc")
+def blocks(docs: DataFrame, n_bytes: int, words: Column | None = None, stems: bool = True) -> DataFrame:
+    """The whole index in the form to store: term, and lists doc, tf, positions, l2 with a value for each document.
+
+    A row has the documents of a term in some megabytes of text, and a task's rows are in order of term, so that a
+    file is an index of its own and is read by term. No posting is dealt; a frequent term lies in many rows. The
+    bytes of all texts decide how many tasks there are.
+    """
+    return _counted(docs, words, stems, "blocks", tasks=1 + n_bytes // TASK_BYTES).sortWithinPartitions("term")
+
+
+def opened(stored: DataFrame, *columns: str) -> DataFrame:
+    """term and the asked columns of `blocks`, a row per document; other lists aren't read, and filters by term reach the scan."""
+    return stored.select("term", F.inline(F.arrays_zip(*columns)))
+
+
+def _counted(docs: DataFrame, words: Column | None, stems: bool, form: str, only: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    cut = docs.select("doc", F.col("text").alias("words") if words is None else words.alias("words"))
+    dealt = (cut.repartition("doc") if tasks is None else cut.repartition(tasks, "doc")).sortWithinPartitions("doc")
     kind = docs.schema["doc"].dataType.simpleString()
-    entries = "array<struct<term: string, tf: bigint, positions: array<int>>>"
-    schema = f"term string, docs array<{kind}>, n bigint" if by_term else f"doc {kind}, l2 double, entries {entries}"
+    schema = {
+        "documents": f"doc {kind}, l2 double, entries array<struct<term: string, tf: bigint, positions: array<int>>>",
+        "lists": f"term string, docs array<{kind}>, n bigint",
+        "blocks": f"term string, doc array<{kind}>, tf array<bigint>, positions array<array<int>>, l2 array<double>",
+    }[form]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_documents(batches):
             counts = Counts(rows, stems)
-            yield from counts.lists() if by_term else counts.documents(only)
+            yield from counts.documents(only) if form == "documents" else getattr(counts, form)()
 
     return dealt.mapInArrow(count, schema)
 

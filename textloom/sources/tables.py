@@ -93,12 +93,12 @@ class TableStore:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.root}/{name}") if name.startswith(PERSISTENT) else self._views[name]
 
-    def save(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write or replace a table; a table may be computed from its own former rows."""
+    def save(self, name: str, rows: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+        """Write or replace a table, with the writer's options; a table may be computed from its own former rows."""
         if not name.startswith(PERSISTENT):
             self._views[name] = rows
             return rows
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}{NEW}")
+        rows.write.mode("overwrite").options(**(options or {})).parquet(f"{self.root}/{name}{NEW}")
         files = self._files()
         files.delete(self._path(name + OLD), True)
         if files.exists(self._path(name)):  # the old table is there until the new one has its name
